@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, sharding
+from tidelog.llm import chat_format, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -39,5 +39,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op5_sharding": op5_sharding}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_rules.fit_weights(docs, quality_rules.trusted_of(table(spark, sf_dir, "labels")))
+    return quality_rules.judge(docs, weights).drop("text")
+
+
+QUERIES = {"op2_chat_format": op2_chat_format, "op5_sharding": op5_sharding, "op6_quality_rules": op6_quality_rules}
 ORACLES = {"op2_chat_format": OP2_SQL}
