@@ -20,7 +20,7 @@ from tidelog.llm.common import SPACE_CLASS, SPACES
 
 BUCKETS = 8192
 #: The least mean log-likelihood ratio (nats an n-gram) of a document that is kept.
-THRESHOLD = -0.06
+THRESHOLD = -0.05
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "#*$%&|<>"
 

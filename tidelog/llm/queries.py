@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, quality_rules, sharding
+from tidelog.llm import chat_format, exact_dedup, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -34,6 +34,21 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS normal, length(coalesce(text, '')) AS chars FROM documents
+), g AS (
+  SELECT doc_id, normal, count(*) OVER (PARTITION BY normal) AS group_size,
+    first_value(doc_id) OVER (PARTITION BY normal ORDER BY chars DESC, doc_id) AS keep_id FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM g
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -45,5 +60,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, weights).drop("text")
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op5_sharding": op5_sharding, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op2_chat_format": OP2_SQL}
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_quality_rules": op6_quality_rules,
+}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
