@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, exact_dedup, quality_rules, sharding
+from tidelog.llm import chat_format, exact_dedup, near_dedup, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -60,10 +60,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, weights).drop("text")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
