@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, exact_dedup, near_dedup, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, near_dedup, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -60,6 +61,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, weights).drop("text")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
