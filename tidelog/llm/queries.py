@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, near_dedup, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, language_id, near_dedup, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
