@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, language_id, near_dedup, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, quality_rules, sharding
 from tidelog.llm.common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -75,6 +79,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
