@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, weights).drop("text")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -84,6 +88,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
