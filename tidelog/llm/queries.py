@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, language_model, near_dedup, packing, quality_rules, sharding
 from tidelog.llm.common import table
 
 
@@ -54,6 +54,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS
 """
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -86,6 +90,7 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_model": op4_language_model,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
