@@ -1,7 +1,7 @@
 """Quality rules: rule counts and a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and word pairs hash into a fixed number of buckets. Two multinomials over the buckets, with add-one smoothing,
-are counted over all documents (raw) and over the trusted ones (target). A document's score is the sum over its
+are counted over all documents (raw) and over the trusted ones (target), whose texts alone are shuffled. A document's score is the sum over its
 n-grams of log(p_target / p_raw), divided by their number, and a document is kept when the score reaches a fixed
 threshold and no base rule fails. All of it is DataFrame expressions; the counting shuffles one row a bucket and
 task, and scoring shuffles nothing: the table of weights has a fixed number of entries.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import prefilter
 from tidelog.llm.common import SPACE_CLASS, SPACES
 
 BUCKETS = 8192
@@ -43,13 +44,16 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
 
     trusted has the doc_id of each target document once or more.
     """
-    target = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(1))
-    marked = docs.select("doc_id", "text").join(target, "doc_id", "left")
-    split = marked.select(F.coalesce("target", F.lit(0)).alias("target"), words_of(F.col("text")).alias("words"))
-    grams = split.select("target", F.explode(n_gram_buckets(F.col("words"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
+    target = trusted.select("doc_id").where("doc_id is not null").distinct()
+    maybe = prefilter.marked(docs.select("doc_id", "text"), prefilter.cells(target, F.xxhash64("doc_id")), F.xxhash64("doc_id"))
+    chosen = maybe.where("hit").join(target, "doc_id", "left_semi")
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        grams = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(n_gram_buckets(F.col("words"), buckets)).alias("bucket"))
+        return grams.groupBy("bucket").agg(F.count("*").alias(name))
+
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    full = every.join(counts(docs, "raw"), "bucket", "left").join(counts(chosen, "target"), "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
     ratio = F.transform("c", lambda c: F.log((c["target"] + 1) / (F.col("n_target") + buckets)) - F.log((c["raw"] + 1) / (F.col("n_raw") + buckets)))
     return one.select(F.when(F.col("n_target") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
