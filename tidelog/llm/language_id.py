@@ -148,47 +148,68 @@ def fit(docs: DataFrame) -> Model | None:
     return train(_features(sample(docs)).collect())
 
 
+def _scoring_table(model: Model | None) -> np.ndarray | None:
+    """What is added up for each subword: a row per language, or per dimension where languages are more."""
+    if not model:
+        return None
+    inner = model.embeddings @ model.weights if len(model.languages) <= DIM else model.embeddings
+    return np.ascontiguousarray(np.vstack([inner, np.zeros((1, inner.shape[1]), np.float32)]).T)
+
+
+def _predict(column: pa.Array, model: Model | None, table: np.ndarray | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and acceptance of a column of texts."""
+    texts = column.to_pylist()
+    letters = np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if model and letters.any():
+        raw, offsets = textkit.text_bytes(column)
+        for a, b in textkit.chunks(offsets):
+            part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            sizes = np.diff(at)
+            some = np.flatnonzero(sizes)
+            if not len(some):
+                continue
+            sums = np.zeros((b - a, len(table)))
+            for bucket in subwords(part, at):
+                for c, values in enumerate(table):
+                    sums[some, c] += np.add.reduceat(values[bucket], at[:-1][some], dtype=np.float64)
+            runs = sum(np.maximum(sizes - k + 1, 0) for k in GRAMS)
+            mean = sums / np.maximum(runs, 1)[:, None]
+            z = ((mean if len(model.languages) <= DIM else mean @ model.weights) + model.bias) / model.temperature
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            best = p.argmax(axis=1)
+            for i in np.flatnonzero(letters[a:b]):
+                names[a + i], scores[a + i] = model.languages[best[i]], min(1.0, float(p[i, best[i]]))
+    return names, scores, letters & (scores >= REJECT_BELOW)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and accepted of every row. Only the text is read."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if m:
-            inner = m.embeddings @ m.weights if len(m.languages) <= DIM else m.embeddings
-            columns = np.ascontiguousarray(np.vstack([inner, np.zeros((1, inner.shape[1]), np.float32)]).T)
+        table = _scoring_table(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            letters = np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts), bool, len(texts))
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if m and letters.any():
-                raw, offsets = textkit.text_bytes(batch.column(1))
-                for a, b in textkit.chunks(offsets):
-                    part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    sizes = np.diff(at)
-                    some = np.flatnonzero(sizes)
-                    if not len(some):
-                        continue
-                    sums = np.zeros((b - a, len(columns)))
-                    for bucket in subwords(part, at):
-                        for c, column in enumerate(columns):
-                            sums[some, c] += np.add.reduceat(column[bucket], at[:-1][some], dtype=np.float64)
-                    runs = sum(np.maximum(sizes - k + 1, 0) for k in GRAMS)
-                    mean = sums / np.maximum(runs, 1)[:, None]
-                    z = (mean if len(m.languages) <= DIM else mean @ m.weights) + m.bias
-                    z = z / m.temperature
-                    p = np.exp(z - z.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    best = p.argmax(axis=1)
-                    for i in np.flatnonzero(letters[a:b]):
-                        names[a + i], scores[a + i] = m.languages[best[i]], min(1.0, float(p[i, best[i]]))
-            accepted = letters & (scores >= REJECT_BELOW)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
+            names, scores, accepted = _predict(batch.column(1), shared.value, table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, accepted boolean")
 
 
+def filter_accepted(docs: DataFrame) -> DataFrame:
+    """The rows whose prediction is accepted, with their columns, by a model fitted to the same table."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _scoring_table(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_predict(batch.column(at), shared.value, table)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted of every row, by a model fitted to the same table."""
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
