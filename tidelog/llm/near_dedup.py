@@ -7,9 +7,12 @@ batch; after each batch it is dropped if the posterior probability that its simi
 the matches so far, is below MISS. What survives is verified on the full shingle sets of the whole texts.
 
 A hub may differ from members that are alike among themselves. So once the components of the verified links are
-known, each bucket whose members fall into different components is taken up again: its members outside the hub's
-component are compared with all its members of other components, through the same two steps. After that every pair
-of a bucket either lies in one component or has been compared; nothing is capped.
+known, the buckets whose members fall into different components are taken up again. Such buckets are joined into
+clusters where they share members. In a cluster, all members outside its main component are compared with all
+members, in blocks of BLOCK by BLOCK: signatures batch by batch, then the full sets, and only for members that
+aren't connected by then. A block answers with the links that connect something new, fewer than it has members,
+never with its pairs. After that every two members of a bucket are in one component or have been compared; nothing
+is capped, and a cluster of any size is spread over its blocks.
 
 With ROWS rows in each of BANDS bands, a pair at the threshold of 0.8 shares no bucket with probability
 (1 - 0.8**6)**40 = 5e-6, and a pair further above it less.
@@ -37,6 +40,8 @@ from tidelog.llm.components import components
 BANDS, ROWS = 40, 6
 #: Signature places that are compared before each decision.
 BATCH = 24
+#: Members on each side of a comparison within a cluster.
+BLOCK = 128
 #: The probability, given the matches so far, under which a pair is dropped.
 MISS = 1e-6
 
@@ -152,6 +157,61 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint")
 
 
+def linked_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members (rep, cluster, comp) of a cluster that connect different components."""
+    counted = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = sizes.select("cluster", "main", F.ceil(F.col("all") / block).alias("n_all"), F.ceil((F.col("all") - F.col("most")) / block).alias("n_ask")).where("n_ask > 0")
+    wanted = prefilter.cells(members.select("rep"), F.xxhash64("rep"))
+    texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("hit").select(F.col("doc_id").alias("rep"), "text")
+    full = members.join(blocks, "cluster").join(classes.select("rep", "signature"), "rep").join(texts, "rep")
+    own = F.pmod(F.xxhash64("rep", "cluster"), F.col("n_all")).alias("all_block")
+    asks = F.pmod(F.xxhash64("cluster", "rep"), F.col("n_ask")).alias("ask_block")
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    right = full.select("cluster", F.explode(every("n_ask")).alias("ask_block"), own, F.lit(False).alias("asks"), "rep", "comp", "signature", "text")
+    left = full.where("comp <> main").select("cluster", asks, F.explode(every("n_all")).alias("all_block"), F.lit(True).alias("asks"), "rep", "comp", "signature", "text")
+    steps, hashes = least_matches(BANDS * ROWS, percent / 100, MISS), BANDS * ROWS
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asking = np.flatnonzero(group["asks"].to_numpy(zero_copy_only=False))
+        asked = np.flatnonzero(~group["asks"].to_numpy(zero_copy_only=False))
+        reps, comps = group["rep"].to_numpy(), group["comp"].to_numpy()
+        signed = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, hashes)
+        column = group["text"].chunk(0) if group["text"].num_chunks else pa.array([], pa.string())
+        raw, offsets = textkit.text_bytes(column)
+        words, word_at = textkit.word_hashes(raw, offsets)
+        found, at = textkit.distinct_in_groups(*textkit.shingle_hashes(words, word_at, width))
+        values, ids = np.unique(found, return_inverse=True)
+        counts, mark = np.diff(at), np.zeros(len(values), dtype=np.int64)
+        names, root = np.unique(comps, return_inverse=True)
+        out: list[tuple[int, int]] = []
+        for u in asking:
+            alive, matches, done = asked[root[asked] != root[u]], None, 0
+            matches = np.zeros(len(alive), dtype=np.int64)
+            for n, fewest in steps:
+                matches += (signed[alive, done:n] == signed[u, done:n]).sum(axis=1)
+                stay = matches >= fewest
+                alive, matches, done = alive[stay], matches[stay], n
+                if not len(alive):
+                    break
+            if not len(alive):
+                continue
+            own = ids[at[u] : at[u + 1]]
+            mark[own] = 1
+            size = counts[alive]
+            spread = np.repeat(at[:-1][alive] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            shared = np.add.reduceat(mark[ids[spread]], np.cumsum(size) - size)
+            mark[own] = 0
+            for v in alive[100 * shared >= percent * (counts[u] + size - shared)]:
+                if root[v] != root[u]:
+                    out.append((min(reps[u], reps[v]), max(reps[u], reps[v])))
+                    root[root == root[v]] = root[u]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return left.unionByName(right).groupBy("cluster", "ask_block", "all_block").applyInArrow(link, "a bigint, b bigint")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     signed = materialize(signatures(docs, width))
@@ -174,10 +234,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     split = labelled(labelled(shared, "rep", "comp"), "hub", "hub_comp")
     open_buckets = split.groupBy("bucket").agg(F.count("*").alias("members"), F.max(F.col("comp") != F.col("hub_comp")).alias("open")).where("open and members > 2").select("bucket")
-    left_over = materialize(split.join(open_buckets, "bucket", "left_semi").where("rep <> hub").select("bucket", "rep", "comp", "hub_comp"))
-    asks = left_over.where("comp <> hub_comp").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("comp_x"))
-    across = asks.join(left_over, "bucket").where("comp_x <> comp").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    second = links(across)
+    stars = materialize(shared.where("rep <> hub").join(open_buckets, "bucket", "left_semi").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    second = materialize(linked_in_blocks(labelled(clusters, "rep", "comp"), classes, docs, width, percent).distinct())
     final = components(first.union(second)) if second.limit(1).count() else labels
 
     nodes = classes.select("set_a", "set_b", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
