@@ -1,6 +1,7 @@
 """Quality rules: rule counts and a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Words and word pairs hash into a fixed number of buckets. Two multinomials over the buckets, with add-one smoothing,
+The n-grams are of word shapes (case, numbers and signs, not the letters), so a language that the target has little
+of isn't taken for poor quality. Shapes and pairs of shapes hash into a fixed number of buckets. Two multinomials over the buckets, with add-one smoothing,
 are counted over all documents (raw) and over the trusted ones (target), whose texts alone are shuffled. A document's score is the sum over its
 n-grams of log(p_target / p_raw), divided by their number, and a document is kept when the score reaches a fixed
 threshold and no base rule fails. All of it is DataFrame expressions; the counting shuffles one row a bucket and
@@ -21,7 +22,7 @@ from tidelog.llm.common import SPACE_CLASS, SPACES
 
 BUCKETS = 8192
 #: The least mean log-likelihood ratio (nats an n-gram) of a document that is kept.
-THRESHOLD = -0.05
+THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "#*$%&|<>"
 
@@ -32,10 +33,17 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def n_gram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of all words and of all pairs of neighbours. Case counts: shouting is a sign of its own."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(F.get(words, i), w), F.lit(buckets)).cast("int"))
+def shapes_of(text: Column) -> Column:
+    """The shapes of a text's words: runs of capitals as A, of other letters as a, of numbers as 0, signs as they are."""
+    shape = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}+", "A")
+    shape = F.regexp_replace(shape, r"[\p{Ll}\p{Lt}\p{Lo}\p{Lm}\p{M}]+", "a")
+    return words_of(F.regexp_replace(shape, r"\p{N}+", "0"))
+
+
+def n_gram_buckets(shapes: Column, buckets: int) -> Column:
+    """Buckets of all shapes and of all pairs of neighbours."""
+    one = F.transform(shapes, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    two = F.transform(F.slice(shapes, 2, F.greatest(F.size(shapes) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(F.get(shapes, i), w), F.lit(buckets)).cast("int"))
     return F.concat(one, two)
 
 
@@ -49,7 +57,7 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     chosen = maybe.where("hit").join(target, "doc_id", "left_semi")
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
-        grams = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(n_gram_buckets(F.col("words"), buckets)).alias("bucket"))
+        grams = rows.select(shapes_of(F.col("text")).alias("shapes")).select(F.explode(n_gram_buckets(F.col("shapes"), buckets)).alias("bucket"))
         return grams.groupBy("bucket").agg(F.count("*").alias(name))
 
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -91,14 +99,14 @@ def rule_counts(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Adds the rule counts, base_failed, score and kept to every row of docs."""
-    counted = rule_counts(docs).withColumn("grams", n_gram_buckets(F.col("words"), buckets)).withColumn("weights", weights.scalar())
+    counted = rule_counts(docs).withColumn("shapes", shapes_of(F.col("text"))).withColumn("grams", n_gram_buckets(F.col("shapes"), buckets)).withColumn("weights", weights.scalar())
     total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get("weights", b))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     return (
         counted.withColumn("score", F.try_divide(total, F.size("grams")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
-        .drop("words", "grams", "weights")
+        .drop("words", "shapes", "grams", "weights")
     )
 
 
