@@ -118,8 +118,8 @@ def test_golomb(n, bits):
     assert (golomb.decode(golomb.encode(values, bits), n, bits) == values).all()
 
 
-def test_exact_copies(spark, docs, rows, empty):
-    again = docs.unionByName(spark.createDataFrame([rows[5], (None, "nobody", None, None, None)], DOCS)).withColumnRenamed("source", "keep_id")
+def test_exact_copies(spark, docs, rows, empty):  # a column of the input is called hit
+    again = docs.unionByName(spark.createDataFrame([rows[5], (None, "nobody", None, None, None)], DOCS)).withColumnRenamed("source", "keep_id").withColumnRenamed("lang", "hit")
     plain = [*rows, rows[5], (None, "nobody", None, None, None)]
     groups = defaultdict(list)
     for r in plain:

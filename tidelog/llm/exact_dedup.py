@@ -114,7 +114,7 @@ def copies(docs: DataFrame) -> DataFrame:
     lists = materialize(coded_lists(docs.select(fingerprint(F.col("text")).alias("print")), owners))
     cells = prefilter.cells(suspects(lists, owners), F.col("print"))
     rows = docs.select("doc_id", "text", fingerprint(F.col("text")).alias("print"))
-    shuffled = prefilter.marked(rows, cells, F.col("print")).where("hit").select("doc_id", normalised(F.col("text")).alias("normal"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    shuffled = prefilter.marked(rows, cells, F.col("print")).where("__hit").select("doc_id", normalised(F.col("text")).alias("normal"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
     best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("less"), "doc_id"))
     groups = (
         shuffled.groupBy("normal")

@@ -138,7 +138,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """The pairs (a, b) of documents whose full shingle sets meet 100 * shared >= percent * united."""
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end")))
     wanted = prefilter.cells(ends, F.xxhash64("end"))
-    texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("hit").select("doc_id", "text")
+    texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("__hit").select("doc_id", "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +163,7 @@ def linked_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, wi
     sizes = counted.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     blocks = sizes.select("cluster", "main", F.ceil(F.col("all") / block).alias("n_all"), F.ceil((F.col("all") - F.col("most")) / block).alias("n_ask")).where("n_ask > 0")
     wanted = prefilter.cells(members.select("rep"), F.xxhash64("rep"))
-    texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("hit").select(F.col("doc_id").alias("rep"), "text")
+    texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("__hit").select(F.col("doc_id").alias("rep"), "text")
     full = members.join(blocks, "cluster").join(classes.select("rep", "signature"), "rep").join(texts, "rep")
     own = F.pmod(F.xxhash64("rep", "cluster"), F.col("n_all")).alias("all_block")
     asks = F.pmod(F.xxhash64("cluster", "rep"), F.col("n_ask")).alias("ask_block")

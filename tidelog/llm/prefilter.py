@@ -20,13 +20,13 @@ def cells(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
 
 
 def marked(rows: DataFrame, found: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
-    """Adds hit, true for each row whose key may be in the set of cells."""
+    """Adds __hit, true for each row whose key may be in the set of cells."""
     slot = F.pmod(key, F.lit(bits)) + 1
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
     side = F.broadcast(found.select(F.col("cell").alias("__cell"), F.col("bitmap").alias("__bitmap")))
-    return rows.join(side, F.bitmap_bucket_number(slot) == F.col("__cell"), "left").withColumn("hit", F.coalesce(bit, F.lit(False))).drop("__cell", "__bitmap")
+    return rows.join(side, F.bitmap_bucket_number(slot) == F.col("__cell"), "left").withColumn("__hit", F.coalesce(bit, F.lit(False))).drop("__cell", "__bitmap")
 
 
 def remove(rows: DataFrame, gone: DataFrame, key: Column, again: DataFrame | None = None) -> DataFrame:
@@ -39,8 +39,8 @@ def remove(rows: DataFrame, gone: DataFrame, key: Column, again: DataFrame | Non
     twice = None if again is None else again.select(F.col(again.columns[0]).alias("__gone"))
     asked = side if twice is None else side.union(twice)
     seen = marked(rows.withColumn("__key", key), cells(asked, F.xxhash64("__gone")), F.xxhash64("__key"))
-    clear = seen.where(~F.col("hit")).drop("hit", "__key")
-    rest = seen.where("hit").join(side, F.col("__key") == F.col("__gone"), "left_anti")
+    clear = seen.where(~F.col("__hit")).drop("__hit", "__key")
+    rest = seen.where("__hit").join(side, F.col("__key") == F.col("__gone"), "left_anti")
     if twice is not None:
         rest = rest.dropDuplicates(["__key"])
-    return clear.unionByName(rest.drop("hit", "__key"))
+    return clear.unionByName(rest.drop("__hit", "__key"))

@@ -54,7 +54,7 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     """
     target = trusted.select("doc_id").where("doc_id is not null").distinct()
     maybe = prefilter.marked(docs.select("doc_id", "text"), prefilter.cells(target, F.xxhash64("doc_id")), F.xxhash64("doc_id"))
-    chosen = maybe.where("hit").join(target, "doc_id", "left_semi")
+    chosen = maybe.where("__hit").join(target, "doc_id", "left_semi")
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
         grams = rows.select(shapes_of(F.col("text")).alias("shapes")).select(F.explode(n_gram_buckets(F.col("shapes"), buckets)).alias("bucket"))
