@@ -20,6 +20,7 @@ rows are packed each; a null doc_id passes through; an empty table gives no rows
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -35,40 +36,72 @@ LENGTH = 2048
 #: The least share of the tokens with which a source has a queue of its own; a queue gets 2 tokens a sequence or more.
 SMALL = 1 / 512
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int"
 #: What str.split() takes for white space and the tokenizer doesn't.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _WORDS = regex.compile(r"[^\s]+")
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, WordEncoder] = {}
 
 
-def _tokenizer(text: str) -> tuple:
-    """A tokenizer from its JSON and its cache of words, built once a process."""
-    if text not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_str(text)
-        made.encode_special_tokens = True
-        _TOKENIZERS[text] = made, {}
-    return _TOKENIZERS[text]
+class WordEncoder:
+    """Encodes texts with a tokenizer for which white space only separates, so that a text's ids are its words' ids.
 
+    Words recur, so each worker keeps the ids of those it has met, up to CACHE_WORDS. A new word is normalised and
+    split by the tokenizer's own rules into pieces, which recur more still; all new pieces go through the tokenizer
+    in one call, and an id that ends a word tells where a piece's ids end.
+    """
 
-def encode_texts(texts: list[str | None], tokenizer, cache: dict[str, bytes], end_id: int) -> list[bytes]:
-    """Each text's ids and the end id, as little-endian 32-bit numbers.
+    def __init__(self, text: str):
+        from tokenizers import Tokenizer
 
-    White space only separates for this tokenizer, so a text's ids are those of its words in a row.
-    """
-    split = [(_WORDS.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = list({w for words in split for w in words if w not in cache})
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
-    last = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, words)) + last for words in split]
+        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer.encode_special_tokens = True
+        made = json.loads(text)
+        self.pattern = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.suffix = made["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
+        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.words: dict[str, bytes] = {}
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Keeps the ids of pieces, each of which the tokenizer takes as one; a piece is a word, too."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u2" if self.small else "<u4")
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(stops) != len(pieces):
+            raise ValueError("the tokenizer doesn't take words apart as its pattern does")
+        data = ids.tobytes()
+        self.words.update((p, data[a:b]) for p, a, b in zip(pieces, [0, *stops], stops, strict=False))
+
+    def _learn(self, words: list[str]) -> None:
+        shown = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        known = self.words
+        # Letters are one piece, and so is the sign after them; the pattern takes the other words apart.
+        split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[:-1].isalpha() and not w[-1].isnumeric() else tuple(self.pattern.findall(w)) for w in shown]
+        new = list({p for pieces in split for p in pieces if p not in known})
+        if new:
+            self._learn_pieces(new)
+        known.update((w, known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])) for w, pieces in zip(words, split, strict=True))
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian numbers of 16 bits while they fit, else of 32."""
+        split = [(_WORDS.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = list({w for words in split for w in words if w not in self.words})
+        for k in range(0, len(new), 20_000):
+            self._learn(new[k : k + 20_000])
+        last, known = np.array([end_id], "<u2" if self.small else "<u4").tobytes(), self.words.__getitem__
+        return [b"".join(map(known, words)) + last for words in split]
+
+
+def encoder(text: str) -> WordEncoder:
+    """The encoder of a tokenizer's JSON, built once a process."""
+    if text not in _TOKENIZERS:
+        _TOKENIZERS[text] = WordEncoder(text)
+    return _TOKENIZERS[text]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -77,17 +110,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _tokenizer(shared.value)
-        small = tokenizer.get_vocab_size() <= 1 << 16
+        words = encoder(shared.value)
         for batch in batches:
             texts, first, size = batch.column(2).to_pylist(), 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size >= 2_000_000 or i + 1 == len(texts):
-                    coded = encode_texts(texts[first : i + 1], tokenizer, cache, end_id)
-                    if small:
-                        coded = [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded]
-                    counts = [len(c) // (2 if small else 4) for c in coded]
+                    coded = words.encode(texts[first : i + 1], end_id)
+                    counts = [len(c) // (2 if words.small else 4) for c in coded]
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i + 1 - first) for k in (0, 1)), pa.array(counts, pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "source", "n", "ids"])
                     first, size = i + 1, 0
 
