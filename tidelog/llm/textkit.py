@@ -9,7 +9,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are hashed together; bounds the memory of the working arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
