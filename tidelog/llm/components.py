@@ -1,4 +1,4 @@
-"""Connected components of a link table, by label propagation with pointer jumping."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
@@ -7,26 +7,42 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialize
 
-#: A chain of n nodes takes about log2(n) rounds; this many rounds is past any table.
+#: Each round at least halves the nodes that still have links; this many rounds is past any table.
 MAX_ROUNDS = 64
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, up) with up the end of each node's chain of parents; chains halve with every pass."""
+    for _ in range(MAX_ROUNDS):
+        above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = materialize(parents.join(above, "up").select("node", F.col("up").alias("was"), F.col("top").alias("up")))
+        parents = jumped.select("node", "up")
+        if not jumped.where("was <> up").limit(1).count():
+            return parents
+    raise RuntimeError("parents did not settle")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node that it reaches.
 
-    Each round takes the smallest label among the neighbours, then the label of that label. Labels and links stay in
-    tables; a round's labels are written to the shared folder, and only a count of changes comes to the driver. A hub
-    with any number of links is a hot key of an equi-join or of a minimum with partial aggregation.
+    In a round every node takes its smallest neighbour, if that is smaller, as its parent; parents are followed to
+    the roots, and the links between different roots are the next round's. All of it stays in tables, written to the
+    shared folder; only whether rows are left comes to the driver. A hub with any number of links is a hot key of a
+    minimum with partial aggregation and of equi-joins with unique keys on the other side.
     """
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        up = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        after = materialize(lower.join(up, "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("component")))
-        moved = after.where("component <> old").limit(1).count()
-        labels = after.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("labels did not settle")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = materialize(links.where("a <> b").select(*pair("a", "b")).distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    for n in range(MAX_ROUNDS):
+        if not edges.limit(1).count():
+            return found
+        both = edges.union(edges.select("b", "a"))
+        roots = _roots(materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))))
+        one, two = (roots.select(F.col("node").alias(k), F.col("up").alias(f"root_{k}")) for k in "ab")
+        edges = materialize(edges.join(one, "a").join(two, "b").where("root_a <> root_b").select(*pair("root_a", "root_b")).distinct())
+        if n == 0:
+            found = roots.select("node", F.col("up").alias("component"))
+        else:
+            later = roots.select(F.col("node").alias("component"), F.col("up").alias("root"))
+            found = materialize(found.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+    raise RuntimeError("links did not settle")
