@@ -1,23 +1,24 @@
 """Language-model scoring by a hierarchical Pitman-Yor model over words.
 
-Every frequent word is a context with a restaurant of its own: the customers are the words that follow it, and each
-table sends one customer to the restaurant that all contexts share as their parent. Words after other words are
-customers of the parent at once. The parent's base is uniform over the training vocabulary and one unknown word.
+Every word is a context with a restaurant of its own: the customers are the words that follow it, and each table
+sends one customer to the restaurant that all contexts share as their parent. The parent's base is uniform over the
+training vocabulary and one unknown word.
 Seatings are sampled by Gibbs: a customer leaves and is seated anew by the Chinese-restaurant probabilities. After
 BURN rounds, the predictive probabilities of SAMPLES rounds are averaged, and a text's score is the sum of their
 logarithms.
 
-A context is a word that makes up 1 / CONTEXTS or more of the training tokens, so there are CONTEXTS at most and
-their totals have a fixed bound. Everything else is spread by word. Words are 64-bit hashes.
+Words are 64-bit hashes, and everything is spread by word. A context's totals are held by the owner of its word: owners
+send it the sums of their own pairs and get back the sums of all, for the contexts they have pairs in (see
+:func:`context_sums`). So no task and no broadcast holds all contexts.
 
 1. Each task numbers the words of its run of documents (at most RUN_TOKENS tokens, or one document) and stores the
    run's tokens. It sends each word's training count to the word's owner (owners have ranges of hashes), once a run,
-   however often the word occurs; the owner adds up and answers.
+   however often the word occurs; the owner adds up and answers. A word's number is its place in the order of all.
 2. The run sends its distinct (context, word) pairs with counts to the word's owner. A pair or word that makes up a
    third of the corpus is one number a run.
 3. Owners hold the seatings of their words in all contexts and in the parent. In a round each owner makes PASSES
    Gibbs passes, with the other owners' totals as they were after the last round.
-4. Owners answer each run with the probabilities of its pairs and words, and the run adds them up by document.
+4. Owners answer each run with the probabilities of its pairs, and the run adds them up by document.
 
 Defined results: a null or empty text is one end token; a null doc_id is in training; repeated rows are scored (and
 counted) each; without training text the score is that of the uniform base; an empty table gives no rows; further
@@ -38,7 +39,6 @@ from tidelog.llm import textkit
 from tidelog.llm.common import materialize, shuffle_partitions
 from tidelog.llm.seating import Seating, expected_tables
 
-CONTEXTS = 16_384
 RUN_TOKENS = 4_000_000
 BURN, SAMPLES, PASSES = 2, 3, 2
 STRENGTH = 1.0
@@ -48,11 +48,14 @@ RUNS = "run string, docs binary, doc_null binary, held binary, sizes binary, voc
 
 
 def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Numbers as compressed bytes: first the lowest byte of each, then the next one, as high bytes are mostly 0."""
+    values = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpack(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,7 +132,7 @@ def ask_counts(runs: DataFrame, owners: int) -> DataFrame:
 
 def answer_counts(asked: DataFrame) -> DataFrame:
     """Rows with run null: an owner's words, counts and sums. Other rows: where a run's words are among them."""
-    spec = "owner int,run string,words binary,counts binary,places binary,n bigint,v bigint"
+    spec = "owner int,run string,words binary,counts binary,places binary,n bigint,v bigint,size bigint"
     schema = _schema(spec)
 
     def run(group: pa.Table) -> pa.Table:
@@ -139,27 +142,22 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         counts = np.zeros(len(words), dtype=np.int64)
         np.add.at(counts, places, np.concatenate([unpack(r["counts"], "i8") for r in rows]))
         owner = rows[0]["owner"]
-        out = [{"owner": owner, "run": None, "words": pack(words), "counts": pack(counts), "places": b"", "n": int(counts.sum()), "v": int((counts > 0).sum())}]
+        out = [{"owner": owner, "run": None, "words": pack(words), "counts": pack(counts), "places": b"", "n": int(counts.sum()), "v": int((counts > 0).sum()), "size": len(words)}]
         ends = np.cumsum([len(s) for s in sent]).tolist()
         for r, a, b in zip(rows, [0, *ends], ends, strict=False):
             at = places[a:b]
-            out.append({"owner": owner, "run": r["run"], "words": b"", "counts": pack(counts[at]), "places": pack(np.diff(at, prepend=0).astype(np.int32)), "n": 0, "v": 0})
+            out.append({"owner": owner, "run": r["run"], "words": b"", "counts": pack(counts[at]), "places": pack(np.diff(at, prepend=0).astype(np.int32)), "n": 0, "v": 0, "size": 0})
         return pa.Table.from_pylist(out, schema=schema)
 
     return asked.groupBy("owner").applyInArrow(run, spec)
 
 
-def frequent(answers: DataFrame, least: float) -> np.ndarray:
-    """The hashes of the words with this many training tokens or more, ascending: CONTEXTS of them at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, counts = unpack(r["words"], "u8"), unpack(r["counts"], "i8")
-                yield pa.RecordBatch.from_arrays([pa.array(words[counts >= least].view(np.int64))], ["word"])
-
-    found = answers.where("run is null").select("words", "counts").mapInArrow(run, "word bigint").limit(CONTEXTS).collect()
-    return np.sort(np.array([r["word"] for r in found], dtype=np.int64).view(np.uint64))
+def numbering(answers: DataFrame, owners: int) -> np.ndarray:
+    """The number of each owner's first word, and the number of all words."""
+    sizes = np.zeros(owners, dtype=np.int64)
+    for owner, size in answers.where("run is null").select("owner", "size").collect():
+        sizes[owner] = size
+    return np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _joined(answers: list[dict], name: str, kind: str) -> np.ndarray:
@@ -172,111 +170,139 @@ def _gathered(rows: DataFrame, *names: str) -> DataFrame:
     return rows.groupBy("run").agg(F.collect_list(F.struct("owner", *names)).alias("answers"))
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's context (1 to len(contexts), 0: none) and its key: word * (contexts + 1) + context."""
-    at = np.minimum(np.searchsorted(contexts, vocabulary), max(0, len(contexts) - 1))
-    number = np.where(contexts[at] == vocabulary, at + 1, 0) if len(contexts) else np.zeros(len(vocabulary), np.int64)
+def _pairs(tokens: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Each token's key: word * len(vocabulary) + context, both as places in the run's vocabulary."""
     context = np.empty(len(tokens), dtype=np.int64)
-    context[1:] = number[tokens[:-1]]
-    context[np.cumsum(sizes) - sizes] = number[np.searchsorted(vocabulary, END)]
-    return context, tokens.astype(np.int64) * (len(contexts) + 1) + context
+    context[1:] = tokens[:-1]
+    context[np.cumsum(sizes) - sizes] = np.searchsorted(vocabulary, END)
+    return tokens.astype(np.int64) * len(vocabulary) + context
+
 
+def _gaps(context: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Ascending numbers of each word as the first one and the steps from one to the next."""
+    gaps = np.diff(context, prepend=0)
+    first = (np.cumsum(per) - per)[per > 0]
+    gaps[first] = context[first]
+    return gaps
 
-def ask_pairs(runs: DataFrame, answers: DataFrame, contexts, owners: int) -> DataFrame:
+
+def _from_gaps(gaps: np.ndarray, per: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(gaps)))
+    return sums[1:] - np.repeat(sums[np.cumsum(per) - per], per)
+
+
+def ask_pairs(runs: DataFrame, answers: DataFrame, starts, owners: int) -> DataFrame:
     """Step 2: each run's pairs to the owners of their words. per: pairs a word; context, count: a pair's."""
-    spec = "owner int,run string,places binary,rare binary,per binary,context binary,count binary"
+    spec = "owner int,run string,places binary,per binary,context binary,count binary"
     schema = _schema(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = contexts.value
         for batch in batches:
             for r in batch.to_pylist():
                 vocabulary, tokens, sizes = unpack(r["vocabulary"], "u8"), unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
                 trained = ~np.repeat(unpack(r["held"], "?"), sizes)
-                context, key = _pairs(tokens, sizes, vocabulary, heavy)
-                some = context > 0
-                rare = np.bincount(tokens[trained & ~some], minlength=len(vocabulary))
-                pairs, which = np.unique(key[some], return_inverse=True)
-                counts = np.bincount(which[trained[some]], minlength=len(pairs))
-                word = pairs // (len(heavy) + 1)
+                pairs, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
+                counts = np.bincount(which[trained], minlength=len(pairs))
+                del which, tokens, trained
+                word, context = np.divmod(pairs, len(vocabulary))
                 per = np.bincount(word, minlength=len(vocabulary))
                 edges = _edges(vocabulary, owners)
                 pair_at = np.concatenate(([0], np.cumsum(per)))
                 places = {a["owner"]: a["places"] for a in r["answers"]}
+                numbers = np.concatenate([starts.value[k] + np.cumsum(unpack(places[k], "i4"), dtype=np.int64) for k in sorted(places)])
+                context = numbers[context]
                 out = []
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     if a < b:
                         own = slice(pair_at[a], pair_at[b])
-                        out.append({"owner": k, "run": r["run"], "places": places[k], "rare": pack(rare[a:b].astype(np.int64)), "per": pack(per[a:b].astype(np.int32)), "context": pack((pairs % (len(heavy) + 1))[own].astype(np.uint16)), "count": pack(counts[own].astype(np.int32))})
+                        out.append({"owner": k, "run": r["run"], "places": places[k], "per": pack(per[a:b].astype(np.int32)), "context": pack(_gaps(context[own], per[a:b])), "count": pack(counts[own].astype(np.int32))})
                 yield _batch(out, schema)
 
     found = _gathered(answers.where("run is not null"), "places")
     return runs.select("run", "held", "sizes", "vocabulary", "tokens").join(found, "run").select("run", "held", "sizes", "vocabulary", "tokens", "answers").mapInArrow(run, spec)
 
 
-def _asked_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """A run's word places at an owner and its pair keys there: place * 65536 + context."""
-    place = np.cumsum(unpack(row["places"], "i4"), dtype=np.int64)
-    return place, (np.repeat(place, unpack(row["per"], "i4")) << 16) | unpack(row["context"], "u2").astype(np.int64)
+def _asked_keys(row: dict, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A run's word places at an owner and its pair keys there: place * words + context, words being their number."""
+    place, per = np.cumsum(unpack(row["places"], "i4"), dtype=np.int64), unpack(row["per"], "i4")
+    return place, np.repeat(place, per) * words + _from_gaps(unpack(row["context"], "i8"), per)
 
 
-STATE = "owner int,keys binary,counts binary,tables binary,sizes binary,rare binary,root_tables binary,root_sizes binary,samples binary,context binary,context_tables binary,context_customers binary,root_customers bigint,root_seats bigint,ones bigint,twos bigint"
+STATE = "owner int,places bigint,keys binary,counts binary,tables binary,sizes binary,root_tables binary,root_sizes binary,samples binary,context binary,context_tables binary,context_customers binary,root_customers bigint,root_seats bigint,ones bigint,twos bigint"
 
 
-def _state(owner: int, keys: np.ndarray, counts: np.ndarray, rare: np.ndarray, child: Seating, root: Seating, samples: bytes) -> dict:
-    context = keys & 0xFFFF
-    numbers, which = np.unique(context, return_inverse=True)
+def _state(owner: int, keys: np.ndarray, counts: np.ndarray, places: int, numbers: np.ndarray, which: np.ndarray, child: Seating, root: Seating, samples: bytes) -> dict:
+    """numbers: the contexts of the owner's pairs, ascending; which: each pair's place among them."""
     sums = [np.bincount(which, weights=w, minlength=len(numbers)).astype(np.int64) for w in (child.tables, counts)]
     return {
-        "owner": owner, "keys": pack(np.diff(keys, prepend=0)), "counts": pack(counts), "tables": pack(child.tables.astype(np.int32)), "sizes": pack(child.sizes.astype(np.int32)), "rare": pack(rare),
-        "root_tables": pack(root.tables.astype(np.int32)), "root_sizes": pack(root.sizes), "samples": samples, "context": pack(numbers), "context_tables": pack(sums[0]), "context_customers": pack(sums[1]),
+        "owner": owner, "places": places, "keys": pack(np.diff(keys, prepend=0)), "counts": pack(counts), "tables": pack(child.tables.astype(np.int32)), "sizes": pack(child.sizes.astype(np.int32)),
+        "root_tables": pack(root.tables.astype(np.int32)), "root_sizes": pack(root.sizes), "samples": samples, "context": pack(np.diff(numbers, prepend=0)), "context_tables": pack(sums[0]), "context_customers": pack(sums[1]),
         "root_customers": int(root.customers.sum()), "root_seats": int(root.tables.sum()), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()),
     }
 
 
-def _root_of(keys: np.ndarray, child: Seating, rare: np.ndarray) -> np.ndarray:
-    return rare + np.bincount(keys >> 16, weights=child.tables, minlength=len(rare)).astype(np.int64)
+def _root_of(word: np.ndarray, child: Seating, places: int) -> np.ndarray:
+    return np.bincount(word, weights=child.tables, minlength=places).astype(np.int64)
 
 
-def first_state(asks: DataFrame) -> DataFrame:
+def first_state(asks: DataFrame, words: int) -> DataFrame:
     """Step 3, before any round: an owner's pairs and a first seating, one table a dish."""
     schema = _schema(STATE)
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        found = [_asked_keys(r) for r in rows]
-        size = 1 + max(int(p.max()) for p, _ in found)
-        rare = np.zeros(size, dtype=np.int64)
-        for (place, _), r in zip(found, rows, strict=True):
-            rare[place] += unpack(r["rare"], "i8")
+        found = [_asked_keys(r, words) for r in rows]
+        places = 1 + max(int(p.max()) for p, _ in found)
         keys, which = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
-        counts = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(counts, which, np.concatenate([unpack(r["count"], "i4") for r in rows]))
+        del found
+        counts = np.bincount(which, weights=np.concatenate([unpack(r["count"], "i4") for r in rows]), minlength=len(keys)).astype(np.int64)
         child = Seating.start(counts, np.ones(len(counts), dtype=np.int64))
-        customers = _root_of(keys, child, rare)
-        return pa.Table.from_pylist([_state(rows[0]["owner"], keys, counts, rare, child, Seating.start(customers, np.ones(size, dtype=np.int64)), b"")], schema=schema)
+        word, context = np.divmod(keys, words)
+        customers = _root_of(word, child, places)
+        numbers, which = np.unique(context, return_inverse=True)
+        return pa.Table.from_pylist([_state(rows[0]["owner"], keys, counts, places, numbers, which, child, Seating.start(customers, np.ones(places, dtype=np.int64)), b"")], schema=schema)
 
     return asks.groupBy("owner").applyInArrow(run, STATE)
 
 
+def context_sums(states: DataFrame, starts, name: str) -> DataFrame:
+    """(owner, name_sums): for each owner's contexts in order, what all owners' `name` of them add up to.
+
+    Each part of an owner's contexts goes to the owner that holds their words, which adds up and answers.
+    """
+    spec = "holder int,owner int,context binary,value binary"
+    schema = _schema(spec)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                numbers, values = np.cumsum(unpack(r["context"], "i8")), unpack(r[name], "i8")
+                edges = np.searchsorted(numbers, starts.value).tolist()
+                yield _batch([{"holder": k, "owner": r["owner"], "context": pack(np.diff(numbers[a:b] - starts.value[k], prepend=0)), "value": pack(values[a:b])} for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b], schema)
+
+    answer = "owner int,holder int,value binary"
+    answered = _schema(answer)
+
+    def add(group: pa.Table) -> pa.Table:
+        holder = group.column("holder")[0].as_py()
+        sums = np.zeros(int(starts.value[holder + 1] - starts.value[holder]), dtype=np.int64)
+        rows = group.select(["owner", "context", "value"]).to_pylist()
+        for r in rows:
+            sums[np.cumsum(unpack(r["context"], "i8"))] += unpack(r["value"], "i8")
+        return pa.Table.from_pylist([{"owner": r["owner"], "holder": holder, "value": pack(sums[np.cumsum(unpack(r["context"], "i8"))])} for r in rows], schema=answered)
+
+    sums = states.select("owner", "context", name).mapInArrow(ask, spec).groupBy("holder").applyInArrow(add, answer)
+    return sums.groupBy("owner").agg(F.collect_list(F.struct("holder", "value")).alias(f"{name}_sums"))
+
+
+def _summed(parts: list[dict]) -> np.ndarray:
+    return np.concatenate([unpack(p["value"], "i8") for p in sorted(parts, key=lambda p: p["holder"])])
+
+
 class Totals:
-    """What all owners' seatings add up to: tables and customers of each context, and of the parent."""
-
-    def __init__(self, states: DataFrame, contexts: int, words: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((2, contexts + 1), dtype=np.int64)
-            for batch in batches:
-                for r in batch.to_pylist():
-                    at = unpack(r["context"], "i8")
-                    sums[0, at] += unpack(r["context_tables"], "i8")
-                    sums[1, at] += unpack(r["context_customers"], "i8")
-            some = np.flatnonzero(sums.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0, some]), pa.array(sums[1, some])], ["context", "tables", "customers"])
-
-        self.tables, self.customers = (np.zeros(contexts + 1, dtype=np.int64) for _ in range(2))
-        sums = states.select("context", "context_tables", "context_customers").mapInArrow(run, "context bigint, tables bigint, customers bigint").groupBy("context").agg(F.sum("tables"), F.sum("customers"))
-        for context, tables, customers in sums.collect():
-            self.tables[context], self.customers[context] = tables, customers
+    """What all owners' seatings add up to in the parent, and the discounts."""
+
+    def __init__(self, states: DataFrame, words: int):
         one = states.agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("root_customers", "root_seats", "ones", "twos"))).first()
         self.root_customers, self.root_tables, ones, twos = one
         self.discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
@@ -288,11 +314,11 @@ class Totals:
     def root_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.root_discount * tables + self.root_opening()) / (STRENGTH + self.root_customers)
 
-    def context_probability(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (customers - self.discount * tables + (STRENGTH + self.discount * self.tables[context]) * parent) / (STRENGTH + self.customers[context])
+    def context_probability(self, customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        return (customers - self.discount * tables + (STRENGTH + self.discount * all_tables) * parent) / (STRENGTH + all_customers)
 
 
-def gibbs_round(states: DataFrame, totals, number: int, sampled: bool) -> DataFrame:
+def gibbs_round(states: DataFrame, totals, starts, number: int, sampled: bool) -> DataFrame:
     """Step 3: PASSES Gibbs passes over every owner's seatings; round 0 first sets the tables near their expectation."""
     schema = _schema(STATE)
 
@@ -301,22 +327,24 @@ def gibbs_round(states: DataFrame, totals, number: int, sampled: bool) -> DataFr
         for batch in batches:
             for r in batch.to_pylist():
                 rng = np.random.default_rng((20260101, r["owner"], number))
-                keys, counts, rare = np.cumsum(unpack(r["keys"], "i8")), unpack(r["counts"], "i8"), unpack(r["rare"], "i8")
+                keys, counts, places = np.cumsum(unpack(r["keys"], "i8")), unpack(r["counts"], "i8"), r["places"]
                 child = Seating(unpack(r["tables"], "i4"), unpack(r["sizes"], "i4"))
                 root = Seating(unpack(r["root_tables"], "i4"), unpack(r["root_sizes"], "i8"))
-                word, context = keys >> 16, keys & 0xFFFF
-                weight = STRENGTH + t.discount * t.tables[context]
+                word, context = np.divmod(keys, int(starts.value[-1]))
+                numbers, all_tables = np.cumsum(unpack(r["context"], "i8")), _summed(r["context_tables_sums"])
+                which = np.searchsorted(numbers, context)
+                weight = STRENGTH + t.discount * all_tables[which]
                 base = t.root_opening()
                 if number == 0:
                     parent = t.root_probability(root.customers, root.tables)
                     child = Seating.start(counts, expected_tables(counts, weight * parent[word]))
-                    customers = _root_of(keys, child, rare)
+                    customers = _root_of(word, child, places)
                     root = Seating.start(customers, expected_tables(customers, np.full(len(customers), base)))
-                several, many = np.flatnonzero(counts > 1), np.arange(len(rare))
+                several, many = np.flatnonzero(counts > 1), np.arange(places)
                 for _ in range(PASSES):
                     parent = t.root_probability(root.customers, root.tables)
                     closed, opened = child.resample(several, (weight * parent[word])[several], t.discount, rng)
-                    change = np.bincount(word[several], weights=opened - closed, minlength=len(rare)).astype(np.int64)
+                    change = np.bincount(word[several], weights=opened - closed, minlength=places).astype(np.int64)
                     fewer, more = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
                     if len(fewer):
                         root.leave(fewer, -change[fewer], rng)
@@ -326,12 +354,18 @@ def gibbs_round(states: DataFrame, totals, number: int, sampled: bool) -> DataFr
                     if len(movable):
                         root.resample(movable, np.full(len(movable), base), t.root_discount, rng)
                 samples = r["samples"]
+                if samples:
+                    samples += _sample(all_tables)
                 if sampled:
-                    parts = [pack(child.tables.astype(np.int32)), pack(root.customers), pack(root.tables.astype(np.int32))]
-                    samples += b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-                yield _batch([_state(r["owner"], keys, counts, rare, child, root, samples)], schema)
+                    samples += _sample(child.tables.astype(np.int32)) + _sample(root.customers) + _sample(root.tables.astype(np.int32))
+                yield _batch([_state(r["owner"], keys, counts, places, numbers, which, child, root, samples)], schema)
+
+    return states.join(context_sums(states, starts, "context_tables"), "owner").mapInArrow(run, STATE)
+
 
-    return states.mapInArrow(run, STATE)
+def _sample(values: np.ndarray) -> bytes:
+    blob = pack(values)
+    return len(blob).to_bytes(8, "little") + blob
 
 
 def _samples(blob: bytes) -> Iterator[bytes]:
@@ -342,52 +376,53 @@ def _samples(blob: bytes) -> Iterator[bytes]:
         at += 8 + n
 
 
-def answer_pairs(asks: DataFrame, states: DataFrame, totals) -> DataFrame:
-    """Step 4: (run, owner, pairs, words): averaged predictive probabilities of a run's pairs, and of its words."""
-    spec = "run string,owner int,pairs binary,words binary"
+def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFrame:
+    """Step 4: (run, owner, pairs): averaged predictive probabilities of a run's pairs."""
+    spec = "run string,owner int,pairs binary"
     schema = _schema(spec)
 
     def run(asked: pa.Table, kept: pa.Table) -> pa.Table:
         out = []
         for r in kept.to_pylist():
             keys, counts = np.cumsum(unpack(r["keys"], "i8")), unpack(r["counts"], "i8")
-            word, context = keys >> 16, keys & 0xFFFF
-            blobs = list(_samples(r["samples"]))
-            pair_mean, word_mean = np.zeros(len(keys)), 0.0
+            word, context = np.divmod(keys, int(starts.value[-1]))
+            which = np.searchsorted(np.cumsum(unpack(r["context"], "i8")), context)
+            del context
+            customers = _summed(r["context_customers_sums"])[which]
+            # A sample's context totals were known in the next round; the last one's are the present ones.
+            blobs = [*_samples(r["samples"] + _sample(_summed(r["context_tables_sums"])))]
+            pair_mean = np.zeros(len(keys))
             for s, t in enumerate(totals.value):
-                tables, root_customers, root_tables = (unpack(b, k) for b, k in zip(blobs[3 * s : 3 * s + 3], ("i4", "i8", "i4"), strict=True))
+                tables, root_customers, root_tables, all_tables = (unpack(b, k) for b, k in zip(blobs[4 * s : 4 * s + 4], ("i4", "i8", "i4", "i8"), strict=True))
                 parent = t.root_probability(root_customers, root_tables)
-                word_mean = word_mean + parent
-                pair_mean += t.context_probability(context, counts, tables, parent[word])
+                pair_mean += t.context_probability(counts, tables, customers, all_tables[which], parent[word])
             pair_mean /= len(totals.value)
-            word_mean = word_mean / len(totals.value)
             for a in asked.to_pylist():
-                place, wanted = _asked_keys(a)
-                out.append({"run": a["run"], "owner": a["owner"], "pairs": pair_mean[np.searchsorted(keys, wanted)].astype(np.float32).tobytes(), "words": word_mean[place].astype(np.float32).tobytes()})
+                _, wanted = _asked_keys(a, int(starts.value[-1]))
+                out.append({"run": a["run"], "owner": a["owner"], "pairs": pair_mean[np.searchsorted(keys, wanted)].astype(np.float32).tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
-    return asks.select("owner", "run", "places", "per", "context").groupBy("owner").cogroup(states.select("owner", "keys", "counts", "samples").groupBy("owner")).applyInArrow(run, spec)
+    kept = states.select("owner", "keys", "counts", "context", "samples")
+    for name in ("context_tables", "context_customers"):
+        kept = kept.join(context_sums(states, starts, name), "owner")
+    return asks.select("owner", "run", "places", "per", "context").groupBy("owner").cogroup(kept.groupBy("owner")).applyInArrow(run, spec)
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, contexts, n: int, v: int) -> DataFrame:
+def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, n: int, v: int) -> DataFrame:
     """Step 4: each document's counts and scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = contexts.value
         for batch in batches:
             for r in batch.to_pylist():
                 vocabulary, tokens, sizes = unpack(r["vocabulary"], "u8"), unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
                 starts = np.cumsum(sizes) - sizes
                 counts = _joined(r["answers"], "counts", "i8")
                 by_owner = sorted(r["predicted"], key=lambda a: a["owner"])
-                words, pairs = (np.log10(np.concatenate([np.frombuffer(a[k], "f4") for a in by_owner]).astype(np.float64)) for k in ("words", "pairs"))
-                context, key = _pairs(tokens, sizes, vocabulary, heavy)
-                some = context > 0
-                logs = words[tokens]
-                logs[some] = pairs[np.unique(key[some], return_inverse=True)[1]]
+                pairs = np.log10(np.concatenate([np.frombuffer(a["pairs"], "f4") for a in by_owner]).astype(np.float64))
+                logs = pairs[np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)[1]]
                 base = np.log10((counts + 1) / (n + 1 * (v + 1)))
                 total = lambda x: np.add.reduceat(x, starts)
                 ids, null = unpack(r["docs"], "i8"), unpack(r["doc_null"], "?")
@@ -398,7 +433,7 @@ def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, contexts,
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     joined = runs.select("run", "docs", "doc_null", "held", "sizes", "vocabulary", "tokens").join(_gathered(answers.where("run is not null"), "counts"), "run")
-    both = joined.join(_gathered(predicted, "pairs", "words").withColumnRenamed("answers", "predicted"), "run")
+    both = joined.join(_gathered(predicted, "pairs").withColumnRenamed("answers", "predicted"), "run")
     return both.select("run", "docs", "doc_null", "held", "sizes", "vocabulary", "tokens", "answers", "predicted").mapInArrow(run, SCORED)
 
 
@@ -410,14 +445,13 @@ def score(docs: DataFrame) -> DataFrame:
     runs = materialize(store_runs(docs))
     answers = materialize(answer_counts(ask_counts(runs, owners)))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    heavy = frequent(answers, max(1.0, n / CONTEXTS))
-    contexts = share(heavy)
-    asks = materialize(ask_pairs(runs, answers, contexts, owners))
-    states = materialize(first_state(asks))
-    totals, kept = Totals(states, len(heavy), v), []
+    starts = share(numbering(answers, owners))
+    asks = materialize(ask_pairs(runs, answers, starts, owners))
+    states = materialize(first_state(asks, int(starts.value[-1])))
+    totals, kept = Totals(states, v), []
     for k in range(BURN + SAMPLES):
-        states = materialize(gibbs_round(states, share(totals), k, k >= BURN))
-        totals = Totals(states, len(heavy), v)
+        states = materialize(gibbs_round(states, share(totals), starts, k, k >= BURN))
+        totals = Totals(states, v)
         if k >= BURN:
             kept.append(totals)
-    return add_up(runs, answers, answer_pairs(asks, states, share(kept)), contexts, n, v)
+    return add_up(runs, answers, answer_pairs(asks, states, share(kept), starts), n, v)
