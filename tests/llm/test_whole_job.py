@@ -25,3 +25,40 @@ def test_rare_words_are_contexts(spark):
     got = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[held[0]]["train_tokens"] > 3 * 16_384
     assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
+
+
+def all_ways(customers, opening, discount):
+    """Mean and variance of the number of tables, by the recursion over customers."""
+    p = np.zeros(customers + 2)
+    p[1] = 1.0
+    t = np.arange(customers + 2)
+    for c in range(1, customers):
+        p[1:] = np.maximum(c - t[1:] * discount, 0) * p[1:] + opening * p[:-1]
+        p /= p.sum()
+    mean = (p * t).sum()
+    return mean, (p * t * t).sum() - mean**2
+
+
+@pytest.mark.parametrize("customers", [2, 7, 128, 129, 400, 6000])
+@pytest.mark.parametrize("opening", [0.05, 3.0, 90.0, 4000.0])
+def test_a_pass_reseats_all_customers(customers, opening):
+    """One pass from any start gives the right number of tables, however many customers a dish has."""
+    from tidelog.llm.seating import draw_tables
+
+    for discount in (0.1, 0.5, 0.8):
+        mean, variance = all_ways(customers, opening, discount)
+        got = draw_tables(np.full(4000, customers), np.full(4000, opening), discount, np.random.default_rng(1))
+        assert got.min() >= 1 and got.max() <= customers
+        assert abs(got.mean() - mean) < 5 * (variance / 4000) ** 0.5 + 0.01 * mean
+        assert abs(got.var() - variance) < 0.2 * variance + 0.02
+
+
+def test_draws_agree_with_moves_of_one_customer():
+    from tidelog.llm.seating import Seating, draw_tables
+
+    rng = np.random.default_rng(2)
+    s = Seating.start(np.full(3000, 9), np.ones(3000, dtype=np.int64))
+    for _ in range(120):
+        s.resample(np.arange(3000), np.full(3000, 1.5), 0.5, rng)
+    drawn = draw_tables(np.full(3000, 9), np.full(3000, 1.5), 0.5, rng)
+    assert abs(s.tables.mean() - drawn.mean()) < 0.12

@@ -3,8 +3,8 @@
 Every word is a context with a restaurant of its own: the customers are the words that follow it, and each table
 sends one customer to the restaurant that all contexts share as their parent. The parent's base is uniform over the
 training vocabulary and one unknown word.
-Seatings are sampled by Gibbs: a customer leaves and is seated anew by the Chinese-restaurant probabilities. After
-BURN rounds, the predictive probabilities of SAMPLES rounds are averaged, and a text's score is the sum of their
+Seatings are sampled by Gibbs: in a pass all customers of each word leave and are seated anew, by a draw of the number
+of their tables given all other words (see :mod:`tidelog.llm.seating`). After BURN rounds, the predictive probabilities of SAMPLES rounds are averaged, and a text's score is the sum of their
 logarithms.
 
 Words are 64-bit hashes, and everything is spread by word. A context's totals are held by the owner of its word: owners
@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit
-from tidelog.llm.common import materialize, shuffle_partitions
-from tidelog.llm.seating import Seating, expected_tables
+from tidelog.llm.common import discard, materialize, shuffle_partitions
+from tidelog.llm.seating import draw_tables
 
 RUN_TOKENS = 4_000_000
 BURN, SAMPLES, PASSES = 2, 3, 2
@@ -228,21 +228,21 @@ def _asked_keys(row: dict, words: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.repeat(place, per) * words + _from_gaps(unpack(row["context"], "i8"), per)
 
 
-STATE = "owner int,places bigint,keys binary,counts binary,tables binary,sizes binary,root_tables binary,root_sizes binary,samples binary,context binary,context_tables binary,context_customers binary,root_customers bigint,root_seats bigint,ones bigint,twos bigint"
+STATE = "owner int,places bigint,keys binary,counts binary,tables binary,root_tables binary,samples binary,context binary,context_tables binary,context_customers binary,root_customers bigint,root_seats bigint,ones bigint,twos bigint"
 
 
-def _state(owner: int, keys: np.ndarray, counts: np.ndarray, places: int, numbers: np.ndarray, which: np.ndarray, child: Seating, root: Seating, samples: bytes) -> dict:
+def _state(owner: int, keys: np.ndarray, counts: np.ndarray, places: int, numbers: np.ndarray, which: np.ndarray, tables: np.ndarray, root_tables: np.ndarray, samples: bytes) -> dict:
     """numbers: the contexts of the owner's pairs, ascending; which: each pair's place among them."""
-    sums = [np.bincount(which, weights=w, minlength=len(numbers)).astype(np.int64) for w in (child.tables, counts)]
+    sums = [np.bincount(which, weights=w, minlength=len(numbers)).astype(np.int64) for w in (tables, counts)]
     return {
-        "owner": owner, "places": places, "keys": pack(np.diff(keys, prepend=0)), "counts": pack(counts), "tables": pack(child.tables.astype(np.int32)), "sizes": pack(child.sizes.astype(np.int32)),
-        "root_tables": pack(root.tables.astype(np.int32)), "root_sizes": pack(root.sizes), "samples": samples, "context": pack(np.diff(numbers, prepend=0)), "context_tables": pack(sums[0]), "context_customers": pack(sums[1]),
-        "root_customers": int(root.customers.sum()), "root_seats": int(root.tables.sum()), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()),
+        "owner": owner, "places": places, "keys": pack(np.diff(keys, prepend=0)), "counts": pack(counts), "tables": pack(tables.astype(np.int32)),
+        "root_tables": pack(root_tables.astype(np.int32)), "samples": samples, "context": pack(np.diff(numbers, prepend=0)), "context_tables": pack(sums[0]), "context_customers": pack(sums[1]),
+        "root_customers": int(tables.sum()), "root_seats": int(root_tables.sum()), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()),
     }
 
 
-def _root_of(word: np.ndarray, child: Seating, places: int) -> np.ndarray:
-    return np.bincount(word, weights=child.tables, minlength=places).astype(np.int64)
+def _root_of(word: np.ndarray, tables: np.ndarray, places: int) -> np.ndarray:
+    return np.bincount(word, weights=tables, minlength=places).astype(np.int64)
 
 
 def first_state(asks: DataFrame, words: int) -> DataFrame:
@@ -256,11 +256,11 @@ def first_state(asks: DataFrame, words: int) -> DataFrame:
         keys, which = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
         del found
         counts = np.bincount(which, weights=np.concatenate([unpack(r["count"], "i4") for r in rows]), minlength=len(keys)).astype(np.int64)
-        child = Seating.start(counts, np.ones(len(counts), dtype=np.int64))
+        tables = np.minimum(counts, 1)
         word, context = np.divmod(keys, words)
-        customers = _root_of(word, child, places)
+        root_tables = np.minimum(_root_of(word, tables, places), 1)
         numbers, which = np.unique(context, return_inverse=True)
-        return pa.Table.from_pylist([_state(rows[0]["owner"], keys, counts, places, numbers, which, child, Seating.start(customers, np.ones(places, dtype=np.int64)), b"")], schema=schema)
+        return pa.Table.from_pylist([_state(rows[0]["owner"], keys, counts, places, numbers, which, tables, root_tables, b"")], schema=schema)
 
     return asks.groupBy("owner").applyInArrow(run, STATE)
 
@@ -319,7 +319,7 @@ class Totals:
 
 
 def gibbs_round(states: DataFrame, totals, starts, number: int, sampled: bool) -> DataFrame:
-    """Step 3: PASSES Gibbs passes over every owner's seatings; round 0 first sets the tables near their expectation."""
+    """Step 3: PASSES Gibbs passes over every owner's seatings."""
     schema = _schema(STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,37 +328,23 @@ def gibbs_round(states: DataFrame, totals, starts, number: int, sampled: bool) -
             for r in batch.to_pylist():
                 rng = np.random.default_rng((20260101, r["owner"], number))
                 keys, counts, places = np.cumsum(unpack(r["keys"], "i8")), unpack(r["counts"], "i8"), r["places"]
-                child = Seating(unpack(r["tables"], "i4"), unpack(r["sizes"], "i4"))
-                root = Seating(unpack(r["root_tables"], "i4"), unpack(r["root_sizes"], "i8"))
+                tables, root_tables = unpack(r["tables"], "i4"), unpack(r["root_tables"], "i4")
                 word, context = np.divmod(keys, int(starts.value[-1]))
                 numbers, all_tables = np.cumsum(unpack(r["context"], "i8")), _summed(r["context_tables_sums"])
                 which = np.searchsorted(numbers, context)
                 weight = STRENGTH + t.discount * all_tables[which]
-                base = t.root_opening()
-                if number == 0:
-                    parent = t.root_probability(root.customers, root.tables)
-                    child = Seating.start(counts, expected_tables(counts, weight * parent[word]))
-                    customers = _root_of(word, child, places)
-                    root = Seating.start(customers, expected_tables(customers, np.full(len(customers), base)))
-                several, many = np.flatnonzero(counts > 1), np.arange(places)
+                customers, base = _root_of(word, tables, places), np.full(places, t.root_opening())
                 for _ in range(PASSES):
-                    parent = t.root_probability(root.customers, root.tables)
-                    closed, opened = child.resample(several, (weight * parent[word])[several], t.discount, rng)
-                    change = np.bincount(word[several], weights=opened - closed, minlength=places).astype(np.int64)
-                    fewer, more = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
-                    if len(fewer):
-                        root.leave(fewer, -change[fewer], rng)
-                    if len(more):
-                        root.enter(more, change[more], np.full(len(more), base), t.root_discount, rng)
-                    movable = many[root.customers > 1]
-                    if len(movable):
-                        root.resample(movable, np.full(len(movable), base), t.root_discount, rng)
+                    parent = t.root_probability(customers, root_tables)
+                    tables = draw_tables(counts, weight * parent[word], t.discount, rng)
+                    customers = _root_of(word, tables, places)
+                    root_tables = draw_tables(customers, base, t.root_discount, rng)
                 samples = r["samples"]
                 if samples:
                     samples += _sample(all_tables)
                 if sampled:
-                    samples += _sample(child.tables.astype(np.int32)) + _sample(root.customers) + _sample(root.tables.astype(np.int32))
-                yield _batch([_state(r["owner"], keys, counts, places, numbers, which, child, root, samples)], schema)
+                    samples += _sample(tables.astype(np.int32)) + _sample(customers) + _sample(root_tables.astype(np.int32))
+                yield _batch([_state(r["owner"], keys, counts, places, numbers, which, tables, root_tables, samples)], schema)
 
     return states.join(context_sums(states, starts, "context_tables"), "owner").mapInArrow(run, STATE)
 
@@ -450,7 +436,8 @@ def score(docs: DataFrame) -> DataFrame:
     states = materialize(first_state(asks, int(starts.value[-1])))
     totals, kept = Totals(states, v), []
     for k in range(BURN + SAMPLES):
-        states = materialize(gibbs_round(states, share(totals), starts, k, k >= BURN))
+        before, states = states, materialize(gibbs_round(states, share(totals), starts, k, k >= BURN))
+        discard(before)
         totals = Totals(states, v)
         if k >= BURN:
             kept.append(totals)
