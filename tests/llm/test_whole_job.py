@@ -7,11 +7,25 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import language_model
+from tidelog.llm import html_extract, language_model
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+# --- 1
+
+LONG = "A long paragraph, with signs, of the article. It goes on; and on, for a while."
+
+
+@pytest.mark.parametrize("paragraphs", [20, 200])
+def test_title_and_lead_stay_with_a_long_article(paragraphs):
+    body = f"<p>{LONG}</p>" * paragraphs
+    text = "\n".join([LONG] * paragraphs)
+    page = f"<nav>menu</nav><article><h1>T</h1><div><p>The lead, of it.</p></div><div>{body}</div></article><footer>f</footer>"
+    assert html_extract.main_text(page) == f"T\nThe lead, of it.\n{text}"
+    assert html_extract.main_text(f"<article><h1>T</h1><section><h2>S</h2><div><p>Lead, here.</p></div><div>{body}</div></section></article>") == f"T\nS\nLead, here.\n{text}"
+
+
 # --- 4
 
 

@@ -4,8 +4,8 @@ A page's text blocks are grouped by their root-to-leaf tag path (block-level tag
 path the text length and the punctuation per block are added up; both are smoothed over the neighbouring paths in
 page order and fused into one score. Paths that reach a threshold (LAMBDA standard deviations, the best path always
 does) select the content blocks. Content sits together, so the page's content element is the deepest one that holds
-nearly all the selected text; its blocks, short ones too, are the result, but for those that lie in a boilerplate
-element (by tag, role, class or id) or are mostly link text without a sentence.
+all selected blocks, or the article or main element around it; its blocks, short ones too, are the result, but for
+those that lie in a boilerplate element (by tag, role, class or id) or are mostly link text without a sentence.
 
 White space, line breaks (br) too, becomes one space inside a block; blocks are joined by a newline in page order.
 Character references are decoded. Unclosed and misnested tags follow the usual rules: a block-level tag closes an
@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 
 #: How many standard deviations of the path scores a content path reaches.
 LAMBDA = 0.8
-#: The share of the selected text that the content element holds.
-SHARE = 0.9
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
@@ -241,10 +239,16 @@ def main_text(html: str | None) -> str:
     while content.parent is not None:
         content = content.parent
     while True:
-        below = [e for e in children.get(id(content), {}).values() if e.tag not in TEXTUAL and e.text >= SHARE * total]
+        below = [e for e in children.get(id(content), {}).values() if e.tag not in TEXTUAL and e.text == total]
         if not below:
             break
         content = below[0]
+    around = content
+    while around is not None:
+        if around.tag in ("article", "main"):
+            content = around
+            break
+        around = around.parent
 
     def inside(element: Element) -> bool:
         while element is not None and element is not content:
