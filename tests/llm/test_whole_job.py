@@ -26,6 +26,19 @@ def test_title_and_lead_stay_with_a_long_article(paragraphs):
     assert html_extract.main_text(f"<article><h1>T</h1><section><h2>S</h2><div><p>Lead, here.</p></div><div>{body}</div></section></article>") == f"T\nS\nLead, here.\n{text}"
 
 
+@pytest.mark.parametrize("opening", ["div id='content' class='with-sidebar'", "div class='no-sidebar'", "div class='post tag-social'", "div class='category-search'", "section id='discussion'", "section id='legal'", "section class='related'", "section id='notice'"])
+def test_a_name_removes_no_dense_content(opening):
+    tag = opening.split()[0]
+    page = f"<div>A page of ours, since 1999.</div><{opening}>" + f"<p>{LONG}</p>" * 5 + f"<div class='sidebar'><p>Read more, of this.</p></div></{tag}><div class='ad'>Buy this, now.</div>"
+    assert html_extract.main_text(page).removeprefix("A page of ours, since 1999.\n") == "\n".join([LONG] * 5)
+
+
+def test_a_name_removes_what_is_minor():
+    page = f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='comments'>" + f"<p>{LONG}</p>" * 3 + "</div>"
+    assert html_extract.main_text(page) == "\n".join([LONG] * 2)
+    assert html_extract.main_text(f"<div class='ad'>{LONG}</div><article><h1>T.</h1><p>A.</p></article>") == "T.\nA."
+
+
 # --- 4
 
 

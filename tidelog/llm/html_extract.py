@@ -5,7 +5,9 @@ path the text length and the punctuation per block are added up; both are smooth
 page order and fused into one score. Paths that reach a threshold (LAMBDA standard deviations, the best path always
 does) select the content blocks. Content sits together, so the page's content element is the deepest one that holds
 all selected blocks, or the article or main element around it; its blocks, short ones too, are the result, but for
-those that lie in a boilerplate element (by tag, role, class or id) or are mostly link text without a sentence.
+those that lie in a boilerplate element (by tag, role, class or id) or are mostly link text without a sentence. Words
+of a class or id alone don't make a boilerplate element of one that holds most of the page's text (see
+:func:`main_paths`).
 
 White space, line breaks (br) too, becomes one space inside a block; blocks are joined by a newline in page order.
 Character references are decoded. Unclosed and misnested tags follow the usual rules: a block-level tag closes an
@@ -28,6 +30,9 @@ from pyspark.sql import DataFrame
 
 #: How many standard deviations of the path scores a content path reaches.
 LAMBDA = 0.8
+#: A name doesn't make boilerplate of elements that hold MOST of the page's text, nor of those that hold HALF of it while
+#: no other path reaches DENSE of their best path's score.
+MOST, HALF, DENSE = 0.75, 0.5, 0.25
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
@@ -57,10 +62,10 @@ PUNCTUATION = re.compile(r"[.,;:!?¿¡。，；：！？、…]")
 
 
 class Element:
-    __slots__ = ("away", "label", "parent", "text", "tag")
+    __slots__ = ("away", "label", "named", "parent", "text", "tag")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, away: bool):
-        self.tag, self.label, self.parent, self.away, self.text = tag, label, parent, away, 0
+    def __init__(self, tag: str, label: str, parent: Element | None, away: bool, named: bool = False):
+        self.tag, self.label, self.parent, self.away, self.named, self.text = tag, label, parent, away, named, 0
 
 
 class Block:
@@ -85,16 +90,22 @@ def _is_away(tag: str, attributes: dict[str, str], parent: Element | None) -> bo
             up = up.parent
         if up is None:
             return True
+    if tag in ("html", "body", "main"):
+        return False
+    return bool(attributes.get("class", "").strip() or attributes.get("id", "").strip()) and "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _is_named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether class or id words mark the element as boilerplate."""
     if tag in ("html", "body", "main"):
         return False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if not names.strip():
         return False
-    style = attributes.get("style", "").replace(" ", "").lower()
     words = {w.lower() for w in WORDS.findall(names)}
     if tag == "article":
         words &= {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}
-    return bool(words & MARKS) or "display:none" in style or (tag != "article" and any(j in names.lower() for j in JOINED))
+    return bool(words & MARKS) or (tag != "article" and any(j in names.lower() for j in JOINED))
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -176,7 +187,7 @@ def blocks_of(html: str) -> list[Block]:
             del stack[next(k for k, e in enumerate(stack) if e.tag == "head") :]
         attributes = _attributes(found[3])
         kind = (attributes.get("class", "").split() or [""])[0]
-        stack.append(Element(tag, f"{tag}.{kind}" if kind else tag, stack[-1], tag == "head" or stack[-1].away or _is_away(tag, attributes, stack[-1])))
+        stack.append(Element(tag, f"{tag}.{kind}" if kind else tag, stack[-1], tag == "head" or stack[-1].away or _is_away(tag, attributes, stack[-1]), _is_named(tag, attributes)))
         links = 0
     return blocks
 
@@ -211,6 +222,47 @@ def path_scores(rows: list[tuple[str, int, int]]) -> dict[str, float]:
     return {p: text[i] * (1 + marks[i]) * (sums[p][1] > 0) for i, p in enumerate(order)}
 
 
+def main_paths(rows: list[tuple[Block, str, str, int]]) -> set[str]:
+    """The paths of elements that are named like boilerplate, but hold the page's main text.
+
+    If there is an article or main element beside them, they need more blocks than it has, too.
+    """
+    inside: dict[str, set[int]] = {}
+    articles = set()
+    for k, (block, path, _, _) in enumerate(rows):
+        element, at = block.element, path
+        while element.parent is not None:
+            if element.tag in ("article", "main") and not element.named:
+                articles.add(k)
+            if element.named:
+                inside.setdefault(at, set()).add(k)
+            element, at = element.parent, at[: -len(element.label) - 1]
+    if not inside:
+        return set()
+    total = sum(len(text) for _, _, text, _ in rows)
+    every = dict(inside)
+    share = {at: sum(len(rows[k][2]) for k in held) / total for at, held in inside.items()}
+    inside = {at: held for at, held in inside.items() if articles <= held or len(held) > len(articles - held)}
+    found = {at for at in inside if share[at] >= MOST}
+    scores = None
+    for at, held in inside.items():
+        if HALF <= share[at] < MOST:
+            scores = scores or path_scores([(path, len(text), marks) for _, path, text, marks in rows])
+            others = set(range(len(rows))).difference(*(h for a, h in every.items() if a not in found))
+            best = max(scores[rows[k][1]] for k in held)
+            if all(scores[rows[k][1]] < DENSE * best for k in others):
+                found.add(at)
+    return found
+
+
+def _named_away(element: Element, path: str, kept: set[str]) -> bool:
+    while element.parent is not None:
+        if element.named and path not in kept:
+            return True
+        element, path = element.parent, path[: -len(element.label) - 1]
+    return False
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -219,6 +271,8 @@ def main_text(html: str | None) -> str:
         text = " ".join("".join(block.parts).split())
         if text and not block.element.away:
             rows.append((block, path_of(block.element), text, len(PUNCTUATION.findall(text))))
+    main = main_paths(rows)
+    rows = [row for row in rows if not _named_away(row[0].element, row[1], main)]
     if not rows:
         return ""
     scores = path_scores([(path, len(text), marks) for _, path, text, marks in rows])
