@@ -39,6 +39,16 @@ def test_a_name_removes_what_is_minor():
     assert html_extract.main_text(f"<div class='ad'>{LONG}</div><article><h1>T.</h1><p>A.</p></article>") == "T.\nA."
 
 
+@pytest.mark.parametrize("tag", sorted(["noscript", "template", "svg", "math", "object", "select", "canvas", "audio", "video", "button", "datalist", "map"]))
+def test_an_unclosed_element_swallows_no_article(tag):
+    article = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    text = "\n".join([LONG] * 2)
+    assert html_extract.main_text(f"<body><{tag}>Menu{article}</body>") == text
+    assert html_extract.main_text(f"<body><div><{tag}>Menu</div>{article}</body>") == text
+    assert html_extract.main_text(f"<body><{tag}><{tag}>a</{tag}><p>{LONG}</p>b</{tag}>{article}</body>") == text
+    assert html_extract.main_text(f"<article><p>One, <{tag}>no</{tag}>two.</p><p>{LONG}</p></article>") == f"One, two.\n{LONG}"
+
+
 # --- 4
 
 

@@ -11,7 +11,8 @@ of a class or id alone don't make a boilerplate element of one that holds most o
 
 White space, line breaks (br) too, becomes one space inside a block; blocks are joined by a newline in page order.
 Character references are decoded. Unclosed and misnested tags follow the usual rules: a block-level tag closes an
-open paragraph, an end tag closes what is open inside its element, and what a cut-off page leaves open ends with it.
+open paragraph, an end tag closes what is open inside its element, and what a cut-off page leaves open ends with it. A
+button, map, object or the like without its end tag ends with its parent, and the blocks after it are text.
 
 Defined results: a null or empty page, or one without content, gives the empty text; a tag or comment that is cut
 off at the end of a page is markup and is dropped; repeated rows give a row each; a null page_id passes through; an
@@ -36,8 +37,10 @@ MOST, HALF, DENSE = 0.75, 0.5, 0.25
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
-#: Fixed values of HTML: elements whose content is no text, void elements, blocks, and boilerplate elements.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "title", "textarea", "select", "head", "canvas", "audio", "video", "button", "datalist", "map"}
+#: Fixed values of HTML: elements whose content is no markup and no text, elements whose content is no text of the page
+#: (if they are closed; else only what is directly in them), void elements, blocks, and boilerplate elements.
+RAW = {"script", "style", "iframe", "title", "textarea"}
+EMBEDDED = {"noscript", "template", "svg", "math", "object", "select", "canvas", "audio", "video", "button", "datalist", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame", "keygen"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset",
@@ -62,10 +65,12 @@ PUNCTUATION = re.compile(r"[.,;:!?¿¡。，；：！？、…]")
 
 
 class Element:
-    __slots__ = ("away", "label", "named", "parent", "text", "tag")
+    __slots__ = ("away", "label", "named", "parent", "resume", "text", "tag")
 
     def __init__(self, tag: str, label: str, parent: Element | None, away: bool, named: bool = False):
         self.tag, self.label, self.parent, self.away, self.named, self.text = tag, label, parent, away, named, 0
+        #: Of an embedded element: the block and link depth that go on after its end.
+        self.resume: tuple[Block | None, int] | None = None
 
 
 class Block:
@@ -156,11 +161,26 @@ def blocks_of(html: str) -> list[Block]:
             elif tag == "hr":
                 current = None
             continue
-        if tag in RAW and tag != "head":
+        if tag in RAW:
             if not closing and not found[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = stop.end() if stop else end
             continue
+        if tag in EMBEDDED:
+            if not closing:
+                if not found[3].rstrip().endswith("/"):
+                    stack.append(Element(tag, tag, stack[-1], False))
+                    stack[-1].resume, current, links = (current, links), None, 0
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    stack[k].away = True
+                    current, links = stack[k].resume
+                    del stack[k:]
+                    break
+                if stack[k].tag in ("body", "html", "article", "main"):
+                    break
+            continue
         if tag == "a":
             links = 0 if closing else 1
             continue
@@ -192,6 +212,17 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
+def _is_dropped(element: Element) -> bool:
+    """Whether an element is boilerplate, an embedded one or inside of such; an unclosed one has only its own text."""
+    if element.tag in EMBEDDED:
+        return True
+    while element is not None:
+        if element.away:
+            return True
+        element = element.parent
+    return False
+
+
 def path_of(element: Element) -> str:
     labels = []
     while element.parent is not None:
@@ -269,7 +300,7 @@ def main_text(html: str | None) -> str:
     rows = []
     for block in blocks_of(html):
         text = " ".join("".join(block.parts).split())
-        if text and not block.element.away:
+        if text and not _is_dropped(block.element):
             rows.append((block, path_of(block.element), text, len(PUNCTUATION.findall(text))))
     main = main_paths(rows)
     rows = [row for row in rows if not _named_away(row[0].element, row[1], main)]
