@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import html_extract, language_model
+from tidelog.llm import html_extract, language_model, packing
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -99,3 +99,36 @@ def test_draws_agree_with_moves_of_one_customer():
         s.resample(np.arange(3000), np.full(3000, 1.5), 0.5, rng)
     drawn = draw_tables(np.full(3000, 9), np.full(3000, 1.5), 0.5, rng)
     assert abs(s.tables.mean() - drawn.mean()) < 0.12
+
+
+# --- 7
+
+
+def served_by_source(pieces, source_of, sequences):
+    out = {}
+    for p in pieces:
+        if p["sequence_id"] in sequences:
+            out[source_of[p["doc_id"]]] = out.get(source_of[p["doc_id"]], 0) + p["length"]
+    return out
+
+
+def test_many_small_sources_keep_their_proportions(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rows = [(i, "the of and to in a is that", "en", f"s{i % 1000}", 0) for i in range(12_000)]
+    source_of = {r[0]: r[3] for r in rows}
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), path, length=256).collect()
+    size = pieces[0]["doc_tokens"]
+    assert sum(p["length"] for p in pieces) == 12_000 * size
+    count = 1 + max(p["sequence_id"] for p in pieces)
+    for part in (count // 4, count // 2):
+        served = served_by_source(pieces, source_of, range(part))
+        due = part * 256 / 1000
+        assert all(abs(served.get(f"s{k}", 0) - due) <= size + 1 for k in range(1000))
+
+
+def test_a_small_source_gets_its_target(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    rows = [(i, "the of and to in a is that", "en", "big" if i % 2000 else "small", 0) for i in range(10_000)]
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), path, targets={"small": 1.0, "big": 1.0}, length=64).collect()
+    first = served_by_source(pieces, {r[0]: r[3] for r in rows}, range(1))
+    assert first["small"] == first["big"] == 32

@@ -10,9 +10,12 @@ the end and every sequence but the last is full of the same mixture. With target
 share to the others in proportion.
 
 A queue's order is by bucket of a hash and then doc_id; positions are sums per (queue, bucket) and a running sum in
-each, so a hot source is spread over all its buckets. Sources whose share is under SMALL of the tokens share a
-queue; so there are at most 1 / SMALL + 1 queues, and the schedule is small, whatever the input. Token ids are
-written to the shared folder once and shuffled once.
+each, so a hot source is spread over all its buckets. Sources whose share is under SMALL of the tokens and that have no
+target share a queue; so there are at most 1 / SMALL + 1 queues besides those of the targets, and the schedule is small,
+whatever the input. The shared queue is a second level of deficit round-robin, over any number of sources: its next
+document is the one that is due first by its source's share (see :func:`take_turns`), so that each part of the queue
+holds its sources in proportion, but for a document of each. Token ids are written to the shared folder once and
+shuffled once, those of the shared queue twice.
 
 Defined results: a null text is empty and packs as its end id alone; a null source is a source of its own; repeated
 rows are packed each; a null doc_id passes through; an empty table gives no rows; further columns are ignored.
@@ -35,6 +38,8 @@ from tidelog.llm.common import materialize
 LENGTH = 2048
 #: The least share of the tokens with which a source has a queue of its own; a queue gets 2 tokens a sequence or more.
 SMALL = 1 / 512
+#: How many numbers of the schedule are worked out at once.
+CELLS = 1 << 22
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
 CACHE_WORDS = 900_000
 
@@ -177,6 +182,10 @@ class Schedule:
         """Cuts documents that follow each other in a queue: (document, start in it, length, sequence, offset)."""
         first, last = int(starts[0]), int(starts[-1] + sizes[-1])
         sequences = self.around(queue, first, last)
+        if len(sequences) * len(self.totals) > CELLS and len(starts) > 1:
+            half = len(starts) // 2
+            (doc, *left), (later, *right) = self.cut(queue, starts[:half], sizes[:half]), self.cut(queue, starts[half:], sizes[half:])
+            return tuple(map(np.concatenate, zip((doc, *left), (later + half, *right), strict=True)))
         served = self.served(sequences)
         bounds = served[:, queue]
         cuts = np.unique(np.concatenate((starts, [last], bounds[(bounds > first) & (bounds < last)])))
@@ -193,18 +202,35 @@ def queues(tokens: DataFrame, targets: dict[str, float] | None = None, length: i
     total = sums.agg(F.sum("n")).first()[0]
     if not total:
         return [], None
-    large = sums.where(F.col("n") >= total * SMALL).orderBy(F.desc("n"), "source").limit(int(1 / SMALL) + 1).collect()
+    named = F.lit(False)
+    if targets:
+        named = F.coalesce(F.col("source").isin([s for s in targets if s is not None]), F.lit(None in targets))
+    large = sums.where((F.col("n") >= total * SMALL) | named).orderBy(F.desc("n"), "source").limit(int(1 / SMALL) + 1 + len(targets or {})).collect()
     names, counts = [r["source"] for r in large], [r["n"] for r in large]
     rest = total - sum(counts)
     weights = [float((targets or {}).get(s, 0)) if targets else float(n) for s, n in zip(names, counts, strict=True)]
     if rest:
-        if counts and rest < total * SMALL / 2:
-            names, counts[-1], weights[-1] = names[:-1], counts[-1] + rest, weights[-1] + (0 if targets else rest)
+        if counts and not targets and rest < total * SMALL / 2:
+            names, counts[-1], weights[-1] = names[:-1], counts[-1] + rest, weights[-1] + rest
         else:
-            counts, weights = [*counts, rest], [*weights, float(rest) if not targets else sum(w for s, w in targets.items() if s not in names)]
+            counts, weights = [*counts, rest], [*weights, 0.0 if targets else float(rest)]
     return names, Schedule(counts, weights, length)
 
 
+def take_turns(mixed: DataFrame, buckets: int) -> DataFrame:
+    """The rows of the shared queue, each with the bucket of the share of its source that is due with it, and this share.
+
+    A document is due when half of it is: the part of its source's tokens that come before its middle.
+    """
+    rows = mixed.withColumn("turn", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    sums = rows.groupBy("turn", "bucket").agg(F.sum("n").alias("sum"))
+    source = Window.partitionBy("turn")
+    before = sums.select("turn", "bucket", (F.sum("sum").over(source.orderBy("bucket")) - F.col("sum")).alias("before"), F.sum("sum").over(source).alias("total"))
+    running = F.sum("n").over(Window.partitionBy("turn", "bucket").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.join(before, ["turn", "bucket"]).withColumn("due", (F.col("before") + running - F.col("n") / 2) / F.col("total"))
+    return placed.withColumn("bucket", F.least(F.floor(F.col("due") * buckets), F.lit(buckets - 1)).cast("int"))
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 1, targets: dict[str, float] | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece of a document in a sequence; columns as in PIECES."""
     tokens = materialize(tokenize(docs, path, end_id))
@@ -215,10 +241,16 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, targets: dict[str, float]
     wide = 2 if tokens.where("n > 0").select(F.octet_length("ids") / F.col("n")).first()[0] == 2 else 4
     rest = len(names)
     queue = F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(s)), i) for i, s in enumerate(names)), F.lit(rest)) if names else F.lit(0)
-    placed = tokens.select("doc_id", "n", "ids", queue.alias("queue"), F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets)).alias("bucket"))
+    rows = tokens.select("doc_id", "source", "n", "ids", queue.alias("queue"), F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets)).cast("int").alias("bucket"))
+    placed, turns = rows.drop("source"), []
+    if len(schedule.totals) > rest:
+        turns = ["due", "turn"]
+        mixed = take_turns(rows.where(F.col("queue") == rest), buckets)
+        own = placed.where(F.col("queue") < rest).withColumns({"due": F.lit(0.0), "turn": F.lit("")})
+        placed = own.unionByName(mixed.select(*own.columns))
     sums = placed.groupBy("queue", "bucket").agg(F.sum("n").alias("sum"))
     before = sums.select("queue", "bucket", (F.sum("sum").over(Window.partitionBy("queue").orderBy("bucket")) - F.col("sum")).alias("before"))
-    order = Window.partitionBy("queue", "bucket").orderBy("doc_id", "n")
+    order = Window.partitionBy("queue", "bucket").orderBy(*turns, "doc_id", "n")
     running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     ready = placed.join(before, ["queue", "bucket"]).select("doc_id", "queue", (F.col("before") + running).alias("at"), "n", "ids")
     shared = docs.sparkSession.sparkContext.broadcast(schedule)
