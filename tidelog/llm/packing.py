@@ -24,15 +24,18 @@ rows are packed each; a null doc_id passes through; an empty table gives no rows
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm import textkit
 from tidelog.llm.common import materialize
 
 LENGTH = 2048
@@ -41,39 +44,51 @@ SMALL = 1 / 512
 #: How many numbers of the schedule are worked out at once.
 CELLS = 1 << 22
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
+#: Bytes of text that are encoded together; a longer text is encoded by itself.
+BATCH_BYTES = 1 << 23
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int"
-#: What str.split() takes for white space and the tokenizer doesn't.
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: Words of texts with separators (U+001C to U+001F), which Arrow takes for white space and the tokenizer doesn't.
 _WORDS = regex.compile(r"[^\s]+")
+#: Letters that every rule for lower case and composition treats alike, and the signs that may follow them.
+_SIGNS = ("", ".", ",", ";", ":", "!", "?")
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿŒœ]+[.,;:!?]?$"
+_LETTERS = re.compile("[a-zß-öø-ÿœ]+")
 _TOKENIZERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer for which white space only separates, so that a text's ids are its words' ids.
 
-    Words recur, so each worker keeps the ids of those it has met, up to CACHE_WORDS. A new word is normalised and
-    split by the tokenizer's own rules into pieces, which recur more still; all new pieces go through the tokenizer
-    in one call, and an id that ends a word tells where a piece's ids end.
+    A batch's words are split and numbered by Arrow, and so are their stems: the letters of a word of plain letters and
+    at most one sign, in lower case, or any other word as it is. Python sees each stem of a batch once; the texts' ids
+    are gathered from theirs in numpy. Stems recur between batches, too, so each worker keeps the ids of those it has
+    met, up to CACHE_WORDS. New ones are normalised and split by the tokenizer's own rules into pieces; new pieces go
+    through the tokenizer's model in one call, and an id that ends a word tells where a piece's ids end.
     """
 
     def __init__(self, text: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(text)
-        self.pattern = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.normalizer = Tokenizer.from_str(text).normalizer
+        # Pieces come normalised and split, so all that is left to do before the model is to map their bytes.
+        self.tokenizer = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "added_tokens": []}))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pattern = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": made["pre_tokenizer"]["pretokenizers"][0]})).pre_tokenizer
         self.suffix = made["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.words: dict[str, bytes] = {}
+        self.small = len(self.ends) <= 1 << 16
+        self.kind = np.dtype("<u2" if self.small else "<u4")
+        self.words: dict[str, bytes] = {"": b""}
+        self._learn(list(_SIGNS[1:]))
+        self.signs = dict(self.words)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Keeps the ids of pieces, each of which the tokenizer takes as one; a piece is a word, too."""
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u2" if self.small else "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
         if len(stops) != len(pieces):
             raise ValueError("the tokenizer doesn't take words apart as its pattern does")
@@ -81,25 +96,65 @@ class WordEncoder:
         self.words.update((p, data[a:b]) for p, a, b in zip(pieces, [0, *stops], stops, strict=False))
 
     def _learn(self, words: list[str]) -> None:
-        shown = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         known = self.words
-        # Letters are one piece, and so is the sign after them; the pattern takes the other words apart.
-        split = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[:-1].isalpha() and not w[-1].isnumeric() else tuple(self.pattern.findall(w)) for w in shown]
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            self._learn_pieces(new)
-        known.update((w, known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])) for w, pieces in zip(words, split, strict=True))
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian numbers of 16 bits while they fit, else of 32."""
-        split = [(_WORDS.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+        # Plain letters are one piece; the tokenizer's own rules take the other words apart.
+        plain, odd = [], []
+        for w in words:
+            (plain if _LETTERS.fullmatch(w) else odd).append(w)
+        if plain:
+            self._learn_pieces(plain)
+        if odd:
+            shown = self.normalizer.normalize_str(" ".join(odd)).split(" ")
+            split = [[p for p, _ in self.pattern.pre_tokenize_str(w)] for w in shown]
+            new = list({p for pieces in split for p in pieces if p not in known})
+            if new:
+                self._learn_pieces(new)
+            known.update((w, b"".join([known[p] for p in pieces])) for w, pieces in zip(odd, split, strict=True))
+
+    def _stems(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words as numbered stems and the place in _SIGNS of the sign after each.
+
+        A plain word's stem is its letters in lower case; any other word is its own stem, without a sign.
+        """
+        plain = pc.match_substring_regex(words, _PLAIN)
+        stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, "".join(_SIGNS))), words).dictionary_encode()
+        raw, at = textkit.text_bytes(words)
+        last = np.zeros(len(words), np.uint8)
+        last[at[1:] > at[:-1]] = raw[at[1:][at[1:] > at[:-1]] - 1]
+        tails = np.zeros(256, np.int64)
+        tails[[ord(sign) for sign in _SIGNS[1:]]] = np.arange(1, len(_SIGNS))
+        return stems, np.where(plain.to_numpy(zero_copy_only=False), tails[last], 0)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each with the end id after it, and where each text's ids begin and end."""
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():
+            split = pa.array([_WORDS.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for words in split for w in words if w not in self.words})
+            self.words = {"": b""}
+        stems, tails = self._stems(coded.dictionary)
+        known = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, known))
+        new = [k for k, ids in enumerate(found) if ids is None]
         for k in range(0, len(new), 20_000):
-            self._learn(new[k : k + 20_000])
-        last, known = np.array([end_id], "<u2" if self.small else "<u4").tobytes(), self.words.__getitem__
-        return [b"".join(map(known, words)) + last for words in split]
+            self._learn([known[i] for i in new[k : k + 20_000]])
+        for k in new:
+            found[k] = self.words[known[k]]
+        # Parts: the stems, the signs after them, and the end id.
+        found += [self.signs[sign] for sign in _SIGNS] + [self.kind.type(end_id).tobytes()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), self.kind)
+        words = coded.indices.to_numpy()
+        parts = np.stack((stems.indices.to_numpy()[words], tails[words] + len(known)), axis=1).reshape(-1)
+        stops = 2 * np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts = np.insert(parts.astype(np.int64), stops, len(found) - 1)
+        counts = size[parts]
+        at = np.concatenate(([0], np.cumsum(counts)))
+        out = ids[np.repeat(begin[parts] - at[:-1], counts) + np.arange(at[-1])]
+        return out, np.concatenate(([0], at[stops + np.arange(1, len(stops) + 1)]))
 
 
 def encoder(text: str) -> WordEncoder:
@@ -117,14 +172,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(shared.value)
         for batch in batches:
-            texts, first, size = batch.column(2).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= 2_000_000 or i + 1 == len(texts):
-                    coded = words.encode(texts[first : i + 1], end_id)
-                    counts = [len(c) // (2 if words.small else 4) for c in coded]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, i + 1 - first) for k in (0, 1)), pa.array(counts, pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "source", "n", "ids"])
-                    first, size = i + 1, 0
+            _, offsets = textkit.text_bytes(batch.column(2))
+            for a, b in textkit.chunks(offsets, BATCH_BYTES):
+                ids, at = words.encode(batch.column(2).slice(a, b - a), end_id)
+                coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(np.diff(at)), coded.cast(pa.binary())], ["doc_id", "source", "n", "ids"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n bigint, ids binary")
 

@@ -1,11 +1,15 @@
 """Quality rules: rule counts and a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-The n-grams are of word shapes (case, numbers and signs, not the letters), so a language that the target has little
-of isn't taken for poor quality. Shapes and pairs of shapes hash into a fixed number of buckets. Two multinomials over the buckets, with add-one smoothing,
-are counted over all documents (raw) and over the trusted ones (target), whose texts alone are shuffled. A document's score is the sum over its
-n-grams of log(p_target / p_raw), divided by their number, and a document is kept when the score reaches a fixed
-threshold and no base rule fails. All of it is DataFrame expressions; the counting shuffles one row a bucket and
-task, and scoring shuffles nothing: the table of weights has a fixed number of entries.
+A text's tokens are its words (runs of letters, marks and numbers) and its runs of signs. All tokens and all pairs of
+neighbours hash into a fixed number of buckets. Two multinomials over the buckets are counted, over all documents (raw)
+and over the trusted ones (target); the labelled texts alone are shuffled for it. The raw one has add-one smoothing, the
+target is smoothed towards the raw one with the weight of PRIOR of its own n-grams, so that what the target has nothing
+of costs log(PRIOR / (1 + PRIOR)) at most, and rare words, which share buckets, cost next to nothing. A document's score
+is the sum over its n-grams of log(p_target / p_raw), divided by their number. A document is kept when no base rule
+fails and its score reaches the threshold: the middle between the mean score of the n-grams of the trusted texts and of
+those labelled as poor, both known from the counts; without poor labels it is THRESHOLD. All of it is DataFrame
+expressions; the counting shuffles one row a bucket and task, and scoring shuffles nothing: the table of weights has a
+fixed number of entries.
 
 Defined results: a null or blank text has no words and fails the base rules; with no trusted document all weights
 are 0, so only the base rules decide; repeated rows each get a row; a null doc_id is never trusted; an empty table
@@ -21,8 +25,12 @@ from tidelog.llm import prefilter
 from tidelog.llm.common import SPACE_CLASS, SPACES
 
 BUCKETS = 8192
-#: The least mean log-likelihood ratio (nats an n-gram) of a document that is kept.
-THRESHOLD = -0.5
+#: The weight of the raw multinomial in the target's, as a part of the target's n-grams.
+PRIOR = 0.01
+#: The least mean log-likelihood ratio (nats an n-gram) of a document that is kept, where no poor text is labelled.
+THRESHOLD = -0.4
+#: Words (letters, marks and numbers) and runs of signs.
+TOKENS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = "#*$%&|<>"
 
@@ -33,38 +41,14 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def shapes_of(text: Column) -> Column:
-    """The shapes of a text's words: runs of capitals as A, of other letters as a, of numbers as 0, signs as they are."""
-    shape = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}+", "A")
-    shape = F.regexp_replace(shape, r"[\p{Ll}\p{Lt}\p{Lo}\p{Lm}\p{M}]+", "a")
-    return words_of(F.regexp_replace(shape, r"\p{N}+", "0"))
-
-
-def n_gram_buckets(shapes: Column, buckets: int) -> Column:
-    """Buckets of all shapes and of all pairs of neighbours."""
-    one = F.transform(shapes, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(F.slice(shapes, 2, F.greatest(F.size(shapes) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(F.get(shapes, i), w), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
-
-
-def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with weights, array<double>: log(p_target / p_raw) of each bucket, over all of docs.
-
-    trusted has the doc_id of each target document once or more.
-    """
-    target = trusted.select("doc_id").where("doc_id is not null").distinct()
-    maybe = prefilter.marked(docs.select("doc_id", "text"), prefilter.cells(target, F.xxhash64("doc_id")), F.xxhash64("doc_id"))
-    chosen = maybe.where("__hit").join(target, "doc_id", "left_semi")
-
-    def counts(rows: DataFrame, name: str) -> DataFrame:
-        grams = rows.select(shapes_of(F.col("text")).alias("shapes")).select(F.explode(n_gram_buckets(F.col("shapes"), buckets)).alias("bucket"))
-        return grams.groupBy("bucket").agg(F.count("*").alias(name))
-
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(counts(docs, "raw"), "bucket", "left").join(counts(chosen, "target"), "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    ratio = F.transform("c", lambda c: F.log((c["target"] + 1) / (F.col("n_target") + buckets)) - F.log((c["raw"] + 1) / (F.col("n_raw") + buckets)))
-    return one.select(F.when(F.col("n_target") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
+def n_gram_buckets(text: Column, buckets: int) -> Column:
+    """Buckets of all tokens of a text (null as empty) and of all pairs of neighbours."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    paired = F.transform(hashes, lambda h: F.struct(h.alias("one"), h.alias("two")))
+    del paired
+    both = F.zip_with(hashes, F.slice(hashes, 2, F.size(hashes)), lambda a, b: F.array(a, F.xxhash64(a, b)))
+    return F.transform(F.array_compact(F.flatten(both)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def rule_counts(docs: DataFrame) -> DataFrame:
