@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from math import log
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import byte_bpe, chat_format, exact_dedup, golomb, html_extract, language_id, language_model, near_dedup, packing, quality_rules, sharding, textkit
@@ -204,8 +206,7 @@ def test_rebalance_moves_little(spark, tmp_path):
 
 def test_quality_counts(spark, docs, rows, empty):
     labels = spark.createDataFrame([(r[0], 1) for r in rows[:40]] + [(None, 1)], "doc_id bigint, quality int")
-    weights = quality_rules.fit_weights(docs, quality_rules.trusted_of(labels), 64)
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs, weights, buckets=64).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, quality_rules.fit(docs, labels, 64), buckets=64).collect()}
     for k, text, *_ in rows:
         words, lines = SPACE.findall(text or ""), [x for x in (text or "").split("\n") if SPACE.search(x)]
         places = defaultdict(list)
@@ -228,6 +229,48 @@ def test_quality_repeats(spark):
     assert (row["n_dup_lines"], row["n_repeat_words"]) == (1, 24)
 
 
+def grams_of(text, buckets):
+    """Buckets of tokens and of neighbours, by the definition of the hash."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashed = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed=seed)
+    tokens = [hashed(w.encode()) for w in SPACE.findall(re.sub(r"[!-/:-@\[-`{-~]+", r" \g<0> ", text or ""))]
+    pairs = [hashed(b.to_bytes(8, "little"), hashed(a.to_bytes(8, "little"))) for a, b in zip(tokens, tokens[1:])]
+    return [signed(h) % buckets for h in tokens + pairs]
+
+
+def test_quality_scores(spark, docs, rows):
+    marks = [(r[0], int(k % 3 > 0)) for k, r in enumerate(rows[:60])]
+    labels = spark.createDataFrame([*marks, marks[0], (None, 1)], "doc_id bigint, quality int")
+    fitted = quality_rules.fit(docs, labels, 64)
+    grams = {k: grams_of(text, 64) for k, text, *_ in rows}
+    raw = Counter(b for g in grams.values() for b in g)
+    good, poor = (Counter(b for k, q in marks if q == mark for b in grams[k]) for mark in (1, 0))
+    p_raw = [(raw[b] + 1) / (raw.total() + 64) for b in range(64)]
+    weights = [log((good[b] / good.total() + quality_rules.PRIOR * p_raw[b]) / (1 + quality_rules.PRIOR) / p_raw[b]) for b in range(64)]
+    threshold = sum(sum(c[b] * weights[b] for b in range(64)) / c.total() for c in (good, poor)) / 2
+    row = fitted.first()
+    assert row["weights"] == pytest.approx(weights) and row["threshold"] == pytest.approx(threshold)
+    for r in quality_rules.judge(docs, fitted, buckets=64).collect():
+        g = grams[r["doc_id"]]
+        if g:
+            score = sum(weights[b] for b in g) / len(g)
+            assert r["score"] == pytest.approx(score)
+            assert r["kept"] == (not r["base_failed"] and score >= threshold) or score == pytest.approx(threshold)
+        else:
+            assert r["score"] is None and not r["kept"]
+
+
+def test_quality_finds_lexical_junk(spark):
+    """Spam of ordinary lower-case words goes, rare languages stay."""
+    rng = random.Random(2)
+    text = lambda stem, n: " ".join(f"{stem}{min(rng.randrange(n), rng.randrange(n))}" for _ in range(90))
+    texts = [text("word", 400) for _ in range(60)] + [text("mot", 60) for _ in range(4)] + [text("buy", 40) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(60, 1), (61, 1)] + [(i, 0) for i in range(64, 70)], "doc_id bigint, quality int")
+    kept = {r["doc_id"] for r in quality_rules.filter_kept(docs, labels).collect()}
+    assert kept == set(range(64))
+
+
 def test_quality_threshold_separates(spark):
     rng = random.Random(1)
     good = [" ".join(f"w{rng.randrange(99)}" for _ in range(80)) for _ in range(30)]

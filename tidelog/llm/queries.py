@@ -65,8 +65,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality_rules.fit_weights(docs, quality_rules.trusted_of(table(spark, sf_dir, "labels")))
-    return quality_rules.judge(docs, weights).drop("text")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
