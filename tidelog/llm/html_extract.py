@@ -3,11 +3,12 @@
 A page's text blocks are grouped by their root-to-leaf tag path (block-level tags with their first class). For each
 path the text length and the punctuation per block are added up; both are smoothed over the neighbouring paths in
 page order and fused into one score. Paths that reach a threshold (LAMBDA standard deviations, the best path always
-does) select the content blocks. Content sits together, so the page's content element is the deepest one that holds
-all selected blocks, or the article or main element around it; its blocks, short ones too, are the result, but for
-those that lie in a boilerplate element (by tag, role, class or id) or are mostly link text without a sentence. Words
-of a class or id alone don't make a boilerplate element of one that holds most of the page's text (see
-:func:`main_paths`).
+does) select the content blocks. Elements that HTML itself or a role keeps apart from the text (navigation, forms, asides)
+are out beforehand. Words of a class or id are no such thing: a path with one has its score cut to NAMED of it, so that a
+banner or a comment falls below the threshold, and a page whose article is so named keeps it, as its best path.
+Content sits together, so the page's content element is the deepest one that holds all selected blocks, or the article
+or main element around it; its blocks, short ones too, are the result, but for those of a named element within it below
+the threshold, and those that are mostly link text without a sentence.
 
 White space, line breaks (br) too, becomes one space inside a block; blocks are joined by a newline in page order.
 Character references are decoded. Unclosed and misnested tags follow the usual rules: a block-level tag closes an
@@ -31,9 +32,8 @@ from pyspark.sql import DataFrame
 
 #: How many standard deviations of the path scores a content path reaches.
 LAMBDA = 0.8
-#: A name doesn't make boilerplate of elements that hold MOST of the page's text, nor of those that hold HALF of it while
-#: no other path reaches DENSE of their best path's score.
-MOST, HALF, DENSE = 0.75, 0.5, 0.25
+#: What is left of a path's score if an element on it is named like boilerplate.
+NAMED = 0.02
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
@@ -58,17 +58,22 @@ MARKS = {
 }
 JOINED = ("sidebar", "advert", "cookie", "newsletter", "comment-", "-comment", "breadcrumb", "navbar", "promo-", "sponsor")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?¿¡。，；：！？、…]")
 
 
 class Element:
-    __slots__ = ("away", "label", "named", "parent", "resume", "text", "tag")
+    """An open element. path numbers its root-to-leaf tag path; held is the nearest embedded element around it or it."""
 
-    def __init__(self, tag: str, label: str, parent: Element | None, away: bool, named: bool = False):
-        self.tag, self.label, self.parent, self.away, self.named, self.text = tag, label, parent, away, named, 0
+    __slots__ = ("away", "held", "inside", "label", "named", "parent", "path", "resume", "tag", "text")
+
+    def __init__(self, tag: str, label: str, parent: Element | None, away: bool, path: int, named: bool = False):
+        self.tag, self.label, self.parent, self.away, self.path, self.text, self.inside = tag, label, parent, away, path, 0, False
+        #: The nearest element from it upwards that is named like boilerplate.
+        self.named: Element | None = self if named else parent and parent.named
+        self.held: Element | None = self if tag in EMBEDDED else parent and parent.held
         #: Of an embedded element: the block and link depth that go on after its end.
         self.resume: tuple[Block | None, int] | None = None
 
@@ -113,15 +118,21 @@ def _is_named(tag: str, attributes: dict[str, str]) -> bool:
     return bool(words & MARKS) or (tag != "article" and any(j in names.lower() for j in JOINED))
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The page's text blocks in order; an element's path is that of its block-level ancestors."""
-    root = Element("", "", None, False)
+def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks and elements in order; an element's path is that of its block-level ancestors."""
+    root = Element("", "", None, False, 0)
+    elements, paths = [root], {}
     stack: list[Element] = [root]
     blocks: list[Block] = []
     current: Block | None = None
     links = 0
     at, end = 0, len(html)
 
+    def opened(tag: str, label: str, away: bool, named: bool = False) -> None:
+        up = stack[-1]
+        stack.append(Element(tag, label, up, away, paths.setdefault((up.path, label), len(paths) + 1), named))
+        elements.append(stack[-1])
+
     def add(text: str) -> None:
         nonlocal current
         if not text:
@@ -169,7 +180,7 @@ def blocks_of(html: str) -> list[Block]:
         if tag in EMBEDDED:
             if not closing:
                 if not found[3].rstrip().endswith("/"):
-                    stack.append(Element(tag, tag, stack[-1], False))
+                    opened(tag, tag, False)
                     stack[-1].resume, current, links = (current, links), None, 0
                 continue
             for k in range(len(stack) - 1, 0, -1):
@@ -207,34 +218,28 @@ def blocks_of(html: str) -> list[Block]:
             del stack[next(k for k, e in enumerate(stack) if e.tag == "head") :]
         attributes = _attributes(found[3])
         kind = (attributes.get("class", "").split() or [""])[0]
-        stack.append(Element(tag, f"{tag}.{kind}" if kind else tag, stack[-1], tag == "head" or stack[-1].away or _is_away(tag, attributes, stack[-1]), _is_named(tag, attributes)))
+        opened(tag, f"{tag}.{kind}" if kind else tag, tag == "head" or stack[-1].away or _is_away(tag, attributes, stack[-1]), _is_named(tag, attributes))
         links = 0
-    return blocks
+    return blocks, elements
 
 
 def _is_dropped(element: Element) -> bool:
     """Whether an element is boilerplate, an embedded one or inside of such; an unclosed one has only its own text."""
-    if element.tag in EMBEDDED:
+    if element.tag in EMBEDDED or element.away:
         return True
-    while element is not None:
-        if element.away:
-            return True
-        element = element.parent
-    return False
-
-
-def path_of(element: Element) -> str:
-    labels = []
-    while element.parent is not None:
-        labels.append(element.label)
-        element = element.parent
-    return "/".join(reversed(labels))
-
-
-def path_scores(rows: list[tuple[str, int, int]]) -> dict[str, float]:
-    """The smoothed, fused score of each path from (path, characters, punctuation) of the blocks in page order."""
-    sums: dict[str, list[int]] = {}
-    for path, chars, marks in rows:
+    around = element.held
+    while around is not None and not around.away:
+        around = around.parent.held
+    return around is not None
+
+
+def path_scores(rows: list[tuple[int, int, int, bool]]) -> dict[int, float]:
+    """The smoothed, fused score of each path from (path, characters, punctuation, named) of the blocks in page order."""
+    sums: dict[int, list[int]] = {}
+    named = set()
+    for path, chars, marks, by_name in rows:
+        if by_name:
+            named.add(path)
         total = sums.setdefault(path, [0, 0, 0])
         total[0] += 1
         total[1] += chars
@@ -250,98 +255,50 @@ def path_scores(rows: list[tuple[str, int, int]]) -> dict[str, float]:
         return out
 
     text, marks = smooth(raw[0]), smooth(raw[1])
-    return {p: text[i] * (1 + marks[i]) * (sums[p][1] > 0) for i, p in enumerate(order)}
-
-
-def main_paths(rows: list[tuple[Block, str, str, int]]) -> set[str]:
-    """The paths of elements that are named like boilerplate, but hold the page's main text.
-
-    If there is an article or main element beside them, they need more blocks than it has, too.
-    """
-    inside: dict[str, set[int]] = {}
-    articles = set()
-    for k, (block, path, _, _) in enumerate(rows):
-        element, at = block.element, path
-        while element.parent is not None:
-            if element.tag in ("article", "main") and not element.named:
-                articles.add(k)
-            if element.named:
-                inside.setdefault(at, set()).add(k)
-            element, at = element.parent, at[: -len(element.label) - 1]
-    if not inside:
-        return set()
-    total = sum(len(text) for _, _, text, _ in rows)
-    every = dict(inside)
-    share = {at: sum(len(rows[k][2]) for k in held) / total for at, held in inside.items()}
-    inside = {at: held for at, held in inside.items() if articles <= held or len(held) > len(articles - held)}
-    found = {at for at in inside if share[at] >= MOST}
-    scores = None
-    for at, held in inside.items():
-        if HALF <= share[at] < MOST:
-            scores = scores or path_scores([(path, len(text), marks) for _, path, text, marks in rows])
-            others = set(range(len(rows))).difference(*(h for a, h in every.items() if a not in found))
-            best = max(scores[rows[k][1]] for k in held)
-            if all(scores[rows[k][1]] < DENSE * best for k in others):
-                found.add(at)
-    return found
-
-
-def _named_away(element: Element, path: str, kept: set[str]) -> bool:
-    while element.parent is not None:
-        if element.named and path not in kept:
-            return True
-        element, path = element.parent, path[: -len(element.label) - 1]
-    return False
+    return {p: text[i] * (1 + marks[i]) * (sums[p][1] > 0) * (NAMED if p in named else 1) for i, p in enumerate(order)}
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    blocks, elements = blocks_of(html)
     rows = []
-    for block in blocks_of(html):
+    for block in blocks:
         text = " ".join("".join(block.parts).split())
         if text and not _is_dropped(block.element):
-            rows.append((block, path_of(block.element), text, len(PUNCTUATION.findall(text))))
-    main = main_paths(rows)
-    rows = [row for row in rows if not _named_away(row[0].element, row[1], main)]
+            rows.append((block, block.element, text, len(PUNCTUATION.findall(text))))
     if not rows:
         return ""
-    scores = path_scores([(path, len(text), marks) for _, path, text, marks in rows])
-    values = [scores[path] for _, path, _, _ in rows]
+    scores = path_scores([(e.path, len(text), marks, e.named is not None) for _, e, text, marks in rows])
+    values = list(scores.values())
     mean = sum(values) / len(values)
     limit = min(LAMBDA * (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5, max(values))
-    total, children = 0, {}
-    for block, path, text, _ in rows:
-        if scores[path] >= limit:
+    total = 0
+    for _, element, text, _ in rows:
+        if scores[element.path] >= limit:
+            element.text += len(text)
             total += len(text)
-            element = block.element
-            while element is not None:
-                element.text += len(text)
-                if element.parent is not None:
-                    children.setdefault(id(element.parent), {})[id(element)] = element
-                element = element.parent
-    content = rows[0][0].element
-    while content.parent is not None:
-        content = content.parent
-    while True:
-        below = [e for e in children.get(id(content), {}).values() if e.tag not in TEXTUAL and e.text == total]
-        if not below:
-            break
-        content = below[0]
+    for element in reversed(elements[1:]):
+        element.parent.text += element.text
+    # Going down from the root, elements come before those inside them.
+    content = elements[0]
+    for element in elements[1:]:
+        if element.parent is content and element.tag not in TEXTUAL and element.text == total:
+            content = element
     around = content
-    while around is not None:
-        if around.tag in ("article", "main"):
-            content = around
-            break
+    while around is not None and around.tag not in ("article", "main"):
         around = around.parent
+    content = around or content
+    for element in elements:
+        element.inside = element is content or (element.parent is not None and element.parent.inside)
 
-    def inside(element: Element) -> bool:
-        while element is not None and element is not content:
-            element = element.parent
-        return element is not None
+    def kept(block: Block, element: Element, text: str, marks: int) -> bool:
+        if not element.inside or (block.linked >= 0.7 * len(text) and not marks):
+            return False
+        within = element.named is not None and element.named is not content and element.named.inside
+        return scores[element.path] >= limit or not within
 
-    kept = [text for block, _, text, marks in rows if inside(block.element) and not (block.linked >= 0.7 * len(text) and not marks)]
-    return "\n".join(kept)
+    return "\n".join(text for block, element, text, marks in rows if kept(block, element, text, marks))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ from tidelog.llm import textkit
 from tidelog.llm.common import discard, materialize, shuffle_partitions
 from tidelog.llm.seating import draw_tables
 
-RUN_TOKENS = 4_000_000
+RUN_TOKENS = 2_000_000
+#: Tokens whose pairs an owner has on average at most, whatever the number of shuffle partitions.
+OWNER_TOKENS = 4_000_000
 BURN, SAMPLES, PASSES = 2, 3, 2
 STRENGTH = 1.0
 END = np.uint64(0x0123456789ABCDEF)
@@ -343,7 +345,7 @@ def gibbs_round(states: DataFrame, totals, starts, number: int, sampled: bool) -
                 if samples:
                     samples += _sample(all_tables)
                 if sampled:
-                    samples += _sample(tables.astype(np.int32)) + _sample(customers) + _sample(root_tables.astype(np.int32))
+                    samples += _sample(tables.astype(np.int32)) + _sample(root_tables.astype(np.int32))
                 yield _batch([_state(r["owner"], keys, counts, places, numbers, which, tables, root_tables, samples)], schema)
 
     return states.join(context_sums(states, starts, "context_tables"), "owner").mapInArrow(run, STATE)
@@ -379,8 +381,8 @@ def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFram
             blobs = [*_samples(r["samples"] + _sample(_summed(r["context_tables_sums"])))]
             pair_mean = np.zeros(len(keys))
             for s, t in enumerate(totals.value):
-                tables, root_customers, root_tables, all_tables = (unpack(b, k) for b, k in zip(blobs[4 * s : 4 * s + 4], ("i4", "i8", "i4", "i8"), strict=True))
-                parent = t.root_probability(root_customers, root_tables)
+                tables, root_tables, all_tables = (unpack(b, k) for b, k in zip(blobs[3 * s : 3 * s + 3], ("i4", "i4", "i8"), strict=True))
+                parent = t.root_probability(_root_of(word, tables, r["places"]), root_tables)
                 pair_mean += t.context_probability(counts, tables, customers, all_tables[which], parent[word])
             pair_mean /= len(totals.value)
             for a in asked.to_pylist():
@@ -388,7 +390,7 @@ def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFram
                 out.append({"run": a["run"], "owner": a["owner"], "pairs": pair_mean[np.searchsorted(keys, wanted)].astype(np.float32).tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
-    kept = states.select("owner", "keys", "counts", "context", "samples")
+    kept = states.select("owner", "places", "keys", "counts", "context", "samples")
     for name in ("context_tables", "context_customers"):
         kept = kept.join(context_sums(states, starts, name), "owner")
     return asks.select("owner", "run", "places", "per", "context").groupBy("owner").cogroup(kept.groupBy("owner")).applyInArrow(run, spec)
@@ -427,8 +429,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    owners = shuffle_partitions(spark)
     runs = materialize(store_runs(docs))
+    owners = max(shuffle_partitions(spark), -(-runs.count() * RUN_TOKENS // OWNER_TOKENS))
     answers = materialize(answer_counts(ask_counts(runs, owners)))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     starts = share(numbering(answers, owners))

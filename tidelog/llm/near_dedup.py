@@ -38,10 +38,14 @@ from tidelog.llm.common import materialize
 from tidelog.llm.components import components
 
 BANDS, ROWS = 40, 6
+#: Words of a shingle, unless a contract says otherwise.
+WORDS = 5
 #: Signature places that are compared before each decision.
 BATCH = 24
 #: Members on each side of a comparison within a cluster.
 BLOCK = 128
+#: Bytes of texts that are verified together; one pair of texts may be more.
+CONFIRM_BYTES = 1 << 22
 #: The probability, given the matches so far, under which a pair is dropped.
 MISS = 1e-6
 
@@ -142,16 +146,17 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (raw_a, at_a), (raw_b, at_b) = (textkit.text_bytes(batch.column(k)) for k in (2, 3))
-            keep = []
-            for i in range(batch.num_rows):
-                sets = []
-                for raw, at in ((raw_a, at_a), (raw_b, at_b)):
-                    words, word_at = textkit.word_hashes(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))
-                    sets.append(np.unique(textkit.shingle_hashes(words, word_at, width)[0]))
-                shared = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sizes = np.add(*(np.diff(textkit.text_bytes(batch.column(k))[1]) for k in (2, 3)))
+            for first, last in textkit.chunks(np.concatenate(([0], np.cumsum(sizes))), CONFIRM_BYTES):
+                part = batch.slice(first, last - first)
+                both = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
+                found, at = textkit.distinct_in_groups(*textkit.exact_shingles(both.dictionary, width))
+                sets = [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                keep = []
+                for a, b in both.indices.to_numpy().reshape(2, -1).T.tolist():
+                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    keep.append(shared > 0 and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint")
@@ -179,9 +184,7 @@ def linked_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, wi
         reps, comps = group["rep"].to_numpy(), group["comp"].to_numpy()
         signed = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, hashes)
         column = group["text"].chunk(0) if group["text"].num_chunks else pa.array([], pa.string())
-        raw, offsets = textkit.text_bytes(column)
-        words, word_at = textkit.word_hashes(raw, offsets)
-        found, at = textkit.distinct_in_groups(*textkit.shingle_hashes(words, word_at, width))
+        found, at = textkit.distinct_in_groups(*textkit.exact_shingles(column, width))
         values, ids = np.unique(found, return_inverse=True)
         counts, mark = np.diff(at), np.zeros(len(values), dtype=np.int64)
         names, root = np.unique(comps, return_inverse=True)
@@ -212,7 +215,7 @@ def linked_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, wi
     return left.unionByName(right).groupBy("cluster", "ask_block", "all_block").applyInArrow(link, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     signed = materialize(signatures(docs, width))
     named = signed.where("n_shingles > 0 and doc_id is not null")

@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, default: flo
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good")).distinct()
     maybe = prefilter.marked(docs.select("doc_id", "text"), prefilter.cells(marks.select("doc_id"), F.xxhash64("doc_id")), F.xxhash64("doc_id"))
-    labelled = maybe.where("__hit").select("doc_id", "text").join(marks, "doc_id")
+    labelled = maybe.where("__hit").select("doc_id", "text").join(marks.hint("merge"), "doc_id")
     # Outer, as the filter on an array's size that explode brings would repeat the work of the array many times.
     raw = with_grams(docs.select("text"), buckets).select(F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"))
     known = with_grams(labelled.select("text", "good"), buckets).select("good", F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count_if("good").alias("target"), F.count_if(~F.col("good")).alias("poor"))
