@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,18 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a table of :func:`materialize` that nothing will read again."""
-    spark = table.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` that nothing will read again, and lets go of what went into them.
+
+    Spark removes a finished job's shuffle files and broadcasts once the driver has collected its plan as garbage, so
+    that happens here: a loop over tables holds the files of one round, not of all.
+    """
+    spark = tables[0].sparkSession
+    for folder in {name.rsplit("/", 1)[0] for table in tables for name in table.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize
+from tidelog.llm.common import discard, materialize
 
 #: Each round at least halves the nodes that still have links; this many rounds is past any table.
 MAX_ROUNDS = 64
@@ -14,9 +14,11 @@ MAX_ROUNDS = 64
 def _roots(parents: DataFrame) -> DataFrame:
     """(node, up) with up the end of each node's chain of parents; chains halve with every pass."""
     for _ in range(MAX_ROUNDS):
+        done = parents
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
         jumped = materialize(parents.join(above, "up").select("node", F.col("up").alias("was"), F.col("top").alias("up")))
         parents = jumped.select("node", "up")
+        discard(done)
         if not jumped.where("was <> up").limit(1).count():
             return parents
     raise RuntimeError("parents did not settle")
@@ -39,10 +41,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         roots = _roots(materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))))
         one, two = (roots.select(F.col("node").alias(k), F.col("up").alias(f"root_{k}")) for k in "ab")
-        edges = materialize(edges.join(one, "a").join(two, "b").where("root_a <> root_b").select(*pair("root_a", "root_b")).distinct())
+        before, edges = edges, materialize(edges.join(one, "a").join(two, "b").where("root_a <> root_b").select(*pair("root_a", "root_b")).distinct())
+        discard(before)
         if n == 0:
             found = roots.select("node", F.col("up").alias("component"))
         else:
             later = roots.select(F.col("node").alias("component"), F.col("up").alias("root"))
-            found = materialize(found.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+            last, found = found, materialize(found.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+            discard(last, roots)
     raise RuntimeError("links did not settle")

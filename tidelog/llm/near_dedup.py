@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import prefilter, textkit
-from tidelog.llm.common import materialize
+from tidelog.llm.common import discard, materialize
 from tidelog.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -227,7 +227,9 @@ def near_groups(docs: DataFrame, width: int = WORDS, percent: int = 80) -> DataF
 
     def links(pairs: DataFrame) -> DataFrame:
         survivors = materialize(likely(pairs.distinct(), classes, percent / 100))
-        return materialize(verified(survivors, docs, width, percent).distinct())
+        found = materialize(verified(survivors, docs, width, percent).distinct())
+        discard(survivors)
+        return found
 
     first = links(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     labels = components(first)
@@ -240,6 +242,7 @@ def near_groups(docs: DataFrame, width: int = WORDS, percent: int = 80) -> DataF
     stars = materialize(shared.where("rep <> hub").join(open_buckets, "bucket", "left_semi").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     second = materialize(linked_in_blocks(labelled(clusters, "rep", "comp"), classes, docs, width, percent).distinct())
+    discard(shared, stars)
     final = components(first.union(second)) if second.limit(1).count() else labels
 
     nodes = classes.select("set_a", "set_b", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
