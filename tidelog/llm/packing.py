@@ -44,9 +44,9 @@ SMALL = 1 / 512
 #: How many numbers of the schedule are worked out at once.
 CELLS = 1 << 22
 BUCKET_ROWS, MAX_BUCKETS = 256, 1 << 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int"
 #: Words of texts with separators (U+001C to U+001F), which Arrow takes for white space and the tokenizer doesn't.
