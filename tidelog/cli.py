@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     bundle.set_defaults(run=_bundle)
     score = parts.add_parser("score")
     score.add_argument("bundle")
-    score.add_argument("--scoring-profile", choices=("legacy", "paper-v1"), default="legacy")
+    score.add_argument("--scoring-profile", choices=("legacy", "paper-v1"), help="instead of the profile that the bundle was frozen with")
     score.add_argument("--judge", choices=("exact", "auto"), default="exact")
     score.set_defaults(run=_score)
     return top

@@ -15,13 +15,17 @@ from tidelog.operators.sweep import first_from
 from tidelog.operators.windows import observability
 
 
+#: Fixed value: the task types whose answers are compared by meaning.
+SEMANTIC_TASKS = ("CRR", "SSR")
+
+
 def answered(episodes: DataFrame) -> DataFrame:
     """Episodes that say something, numbered anew by record, with t, their start."""
     kept = episodes.where(tx.is_answered(F.col("text"))).withColumn("t", F.col("start_video_time_s"))
     return kept.withColumn("episode", (F.row_number().over(Window.partitionBy("record_id").orderBy("episode")) - 1).cast("int"))
 
 
-def judge(rows: DataFrame, mode: str = "exact", semantic: tuple[str, ...] = (), model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def judge(rows: DataFrame, mode: str = "exact", semantic: tuple[str, ...] = SEMANTIC_TASKS, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds score, score_method, judge_error and cached to rows (call, task_type, question, expected, prediction).
 
     Calls that are alike after normalization are judged once: the distinct ones go to the judge, and `cached` marks
@@ -97,7 +101,7 @@ def latency(rows: DataFrame, observations: DataFrame, tolerance: float = 0.0) ->
     return rows.join(arrived, ["record_id", "position"], "left").withColumn("latency_ms", F.when(gap >= 0, gap))
 
 
-def score_windows(records: DataFrame, specs: DataFrame, events: DataFrame, boundary: str = "half_open", mode: str = "exact", semantic: tuple[str, ...] = (), model=None) -> dict[str, DataFrame]:
+def score_windows(records: DataFrame, specs: DataFrame, events: DataFrame, boundary: str = "half_open", mode: str = "exact", semantic: tuple[str, ...] = SEMANTIC_TASKS, model=None) -> dict[str, DataFrame]:
     """Scores proactive windows: strict and eventual rows, the answered episodes and the judged calls.
 
     records: (record_id, task_type, instruction). specs: window specs with expected_answer. events: resolved events

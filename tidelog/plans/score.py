@@ -56,11 +56,15 @@ def score_records(task: str, records: DataFrame, events: DataFrame, proactive_wi
     return metrics, found["strict"]
 
 
-def score_bundle(spark: SparkSession, root: str, profile: str = "legacy", judge_mode: str = "exact") -> dict[str, Any]:
-    """Scores a final bundle under its frozen configuration and writes the scores beside the result."""
+def score_bundle(spark: SparkSession, root: str, profile: str | None = None, judge_mode: str = "exact") -> dict[str, Any]:
+    """Scores a final bundle under its frozen configuration and writes the scores beside the result.
+
+    The bundle's own scoring profile holds unless another is given.
+    """
     bundle = RunBundle(root)
     bundle.validate(spark)
     config = bundle.config()
+    profile = profile or config.get("scoring_profile", "legacy")
     records = spark.read.schema(result_schema()).json(f"{root}/records")
     events = spark.read.schema(log_schema()).json(f"{root}/events")
     metrics, rows = score_records(config.get("task", "qa"), records, events, config.get("proactive_window_s", 5.0), config.get("window_boundary", "half_open"), profile, judge_mode)

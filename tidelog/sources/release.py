@@ -13,6 +13,8 @@ from tidelog.operators import validation
 from tidelog.sources.jsonl import MONITORS, QUESTIONS, read_ids, read_strict
 
 TASKS = {"qa": ("qa_file", QUESTIONS, "tiny_qa_ids_file"), "proactive": ("proactive_file", MONITORS, "tiny_proactive_ids_file")}
+#: Fixed value: the file that lists the standard monitoring records; manifests don't name it.
+STANDARD_IDS = "standard_proactive_ids.json"
 
 
 class ReleaseError(ValueError):
@@ -55,8 +57,10 @@ class Release:
             raise ReleaseError(f"ids repeat: {twice}")
         if subset in ("full", "all") or (subset == "standard" and task == "qa"):
             return rows
-        listed = {"tiny": tiny, "standard": "standard_proactive_ids_file"}[subset]
-        ids = read_ids(spark, str(self._path(self.manifest[listed])))
+        listed = self._path(STANDARD_IDS if subset == "standard" else self.manifest[tiny])
+        if not listed.is_file():
+            raise ReleaseError(f"the {subset} subset is unavailable in this release: {listed} is missing")
+        ids = read_ids(spark, str(listed))
         if unknown := validation.unknown_ids(ids, rows, "record_id").limit(3).collect():
             raise ReleaseError(f"unknown ids: {unknown}")
         return validation.select_subset(ids, rows, "record_id").orderBy("pos")
