@@ -321,7 +321,7 @@ def test_quality_finds_lexical_junk(spark):
 
 def test_quality_threshold_separates(spark):
     rng = random.Random(1)
-    good = [" ".join(f"w{rng.randrange(99)}" for _ in range(80)) for _ in range(30)]
+    good = [" ".join(f"w{rng.randrange(9)}" if rng.random() < 0.9 else f"x{rng.randrange(99)}" for _ in range(80)) for _ in range(30)]
     bad = [" ".join(rng.choice(["$$", "##", "XX", "%%"]) + str(rng.randrange(99)) for _ in range(80)) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id bigint, quality int")
