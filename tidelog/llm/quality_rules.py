@@ -2,9 +2,10 @@
 
 A text's tokens are its words (runs of letters, marks and numbers) and its runs of signs. All tokens and all pairs of
 neighbours hash into a fixed number of buckets. Two multinomials over the buckets are counted, over all documents (raw)
-and over the trusted ones (target); the labelled texts alone are shuffled for it. The raw one has add-one smoothing, the
-target is smoothed towards the raw one with the weight of PRIOR of its own n-grams, so that what the target has nothing
-of costs log(PRIOR / (1 + PRIOR)) at most, and rare words, which share buckets, cost next to nothing. A document's score
+and over the trusted ones (target); the labelled texts alone are shuffled for it. Both are smoothed with PRIOR counts a
+bucket, the raw one after it has been scaled to the target's number of n-grams: what is frequent in the raw corpus and
+missing in the target weighs much, what is rare in both next to nothing, so that texts of rare words and pairs aren't
+taken for poor ones, however small the tables. A document's score
 is the sum over its n-grams of log(p_target / p_raw), divided by their number. A document is kept when no base rule
 fails and its score reaches the threshold: the middle between the mean score of the n-grams of the trusted texts and of
 those labelled as poor, both known from the counts; without poor labels it is THRESHOLD. All of it is DataFrame
@@ -27,8 +28,8 @@ from tidelog.llm import prefilter
 from tidelog.llm.common import SPACE_CLASS, SPACES
 
 BUCKETS = 8192
-#: The weight of the raw multinomial in the target's, as a part of the target's n-grams.
-PRIOR = 0.01
+#: Counts that are added to each bucket of the target, and of the raw corpus at the target's scale.
+PRIOR = 3.0
 #: The least mean log-likelihood ratio (nats an n-gram) of a document that is kept, where no poor text is labelled.
 THRESHOLD = -0.4
 #: Runs of signs, which are tokens of their own.
@@ -71,8 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, default: flo
     full = every.join(raw, "bucket", "left").join(known, "bucket", "left").select("bucket", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("raw", "target", "poor")))
     sums = [F.sum(k).alias(f"n_{k}") for k in ("raw", "target", "poor")]
     one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target", "poor"))).alias("c"), *sums)
-    p_raw = lambda c: (c["raw"] + 1) / (F.col("n_raw") + buckets)
-    ratio = lambda c: F.log((c["target"] / F.col("n_target") + PRIOR * p_raw(c)) / (1 + PRIOR)) - F.log(p_raw(c))
+    ratio = lambda c: F.log((c["target"] + PRIOR) / (c["raw"] * F.col("n_target") / F.col("n_raw") + PRIOR))
     weighed = one.withColumn("weights", F.when(F.col("n_target") > 0, F.transform("c", ratio)).otherwise(F.array_repeat(F.lit(0.0), buckets)))
     mean = lambda k: F.aggregate(F.zip_with("c", "weights", lambda c, w: c[k] * w), F.lit(0.0), lambda x, y: x + y) / F.col(f"n_{k}")
     both = (F.col("n_target") > 0) & (F.col("n_poor") > 0)
