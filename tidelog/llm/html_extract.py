@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 LAMBDA = 0.8
 #: What is left of a path's score if an element on it is named like boilerplate.
 NAMED = 0.02
+#: A named element with this part of the page's text isn't taken for boilerplate by its name.
+HALF = 0.5
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
@@ -258,6 +260,30 @@ def path_scores(rows: list[tuple[int, int, int, bool]]) -> dict[int, float]:
     return {p: text[i] * (1 + marks[i]) * (sums[p][1] > 0) * (NAMED if p in named else 1) for i, p in enumerate(order)}
 
 
+def _clear_names(elements: list[Element], rows: list[tuple]) -> None:
+    """A name says nothing of an element with HALF of the page's text, unless an article or main element is beside it."""
+    for _, element, text, _ in rows:
+        element.text += len(text)
+    for element in reversed(elements[1:]):
+        element.parent.text += element.text
+    total = elements[0].text
+    whole = sum(e.text for e in elements if e.tag in ("article", "main") and e.text)
+    for element in elements[1:]:
+        own = element.named is element
+        if own and element.text >= HALF * total:
+            inner = sum(e.text for e in elements if e.tag in ("article", "main") and e.text and _within(e, element))
+            own = inner < whole
+        element.named = element if own else element.parent.named
+    for element in elements:
+        element.text = 0
+
+
+def _within(element: Element | None, outer: Element) -> bool:
+    while element is not None and element is not outer:
+        element = element.parent
+    return element is not None
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -269,6 +295,7 @@ def main_text(html: str | None) -> str:
             rows.append((block, block.element, text, len(PUNCTUATION.findall(text))))
     if not rows:
         return ""
+    _clear_names(elements, rows)
     scores = path_scores([(e.path, len(text), marks, e.named is not None) for _, e, text, marks in rows])
     values = list(scores.values())
     mean = sum(values) / len(values)
