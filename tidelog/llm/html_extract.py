@@ -35,7 +35,7 @@ LAMBDA = 0.8
 #: What is left of a path's score if an element on it is named like boilerplate.
 NAMED = 0.02
 #: A named element with this part of the page's text isn't taken for boilerplate by its name.
-HALF = 0.5
+MOST = 0.75
 #: Weights of a path's neighbours in page order, by distance.
 SMOOTH = tuple(exp(-0.5 * (d / 0.6) ** 2) for d in range(3))
 
@@ -261,7 +261,7 @@ def path_scores(rows: list[tuple[int, int, int, bool]]) -> dict[int, float]:
 
 
 def _clear_names(elements: list[Element], rows: list[tuple]) -> None:
-    """A name says nothing of an element with HALF of the page's text, unless an article or main element is beside it."""
+    """A name says nothing of an element with MOST of the page's text, unless an article or main element is beside it."""
     for _, element, text, _ in rows:
         element.text += len(text)
     for element in reversed(elements[1:]):
@@ -270,7 +270,7 @@ def _clear_names(elements: list[Element], rows: list[tuple]) -> None:
     whole = sum(e.text for e in elements if e.tag in ("article", "main") and e.text)
     for element in elements[1:]:
         own = element.named is element
-        if own and element.text >= HALF * total:
+        if own and element.text >= MOST * total:
             inner = sum(e.text for e in elements if e.tag in ("article", "main") and e.text and _within(e, element))
             own = inner < whole
         element.named = element if own else element.parent.named
