@@ -406,6 +406,20 @@ def test_byte_bpe(spark, docs, rows, empty):
 # --- 9
 
 
+def test_language_sample_has_every_label(spark, monkeypatch):
+    rows = [(i, f"word{i % 260} text{i % 260} more", f"l{i % 260:03d}") for i in range(1300)]
+    docs = spark.createDataFrame([*rows, *rows[:50], (None, "a b", "l000"), (7, None, "l007"), (8, "x", " ")], "doc_id long, text string, lang string")
+    kept = {r["lang"] for r in docs.where("doc_id is not null and text is not null and trim(lang) <> ''").where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    got = language_id.sample(docs).collect()
+    assert len(kept) > 250 and {r["lang"] for r in got} == kept
+    assert len(got) == len({(r["lang"], r["part"]) for r in got})
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", len(kept))
+    few = language_id.sample(docs).collect()
+    assert {r["lang"] for r in few} == kept and len(few) == len(kept)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 2000)
+    assert 0 < sum(12 * len(r["text"]) for r in language_id.sample(docs).collect()) <= 2000
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     sounds = {"xx": ["tha", "ing", "er", "on"], "yy": ["ción", "mente", "es", "ar"], "zz": ["schw", "keit", "ung", "ß"]}

@@ -6,12 +6,15 @@ together by stochastic gradient descent in numpy on a bounded sample of labelled
 training doesn't see sets a temperature, so that scores are probabilities of being right, and a prediction below
 REJECT_BELOW is rejected. Prediction reads every whole text and shuffles nothing.
 
-The sample holds about PER_LANGUAGE rows of each of the LANGUAGES most frequent labels, chosen by a hash of doc_id,
-and SAMPLE_ROWS rows at most; only their counts of subwords come to the driver.
+The sample holds about PER_LANGUAGE rows of each label, or an even share of SAMPLE_ROWS where labels are many, chosen
+by a hash of doc_id. It is bounded in rows by SAMPLE_ROWS and in bytes of subword counts, which are all that comes to
+the driver, by SAMPLE_BYTES. Each label's first row in hash order goes before all others, so no label is left out
+while there are no more labels than rows in the bound.
 
 Defined results: a null text, or one without any letter, is `und` with score 0 and rejected; without labelled rows
-all texts are; a null or blank lang is no label; repeated rows are predicted each; a null doc_id is never trained on
-and is held out = false; an empty table gives no rows; further columns pass through :func:`filter_accepted`.
+all texts are; a null or blank lang is no label; repeated rows are predicted each, and trained on once a doc_id and lang
+(by the smallest text); of equal scores, the label first in order wins; texts of any length are read whole; a null
+doc_id is never trained on and is held out = false; an empty table gives no rows; further columns pass through :func:`filter_accepted`.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit
 
 GRAMS = (3, 4)
 BUCKETS, DIM = 1 << 15, 16
-PER_LANGUAGE, LANGUAGES, SAMPLE_ROWS = 400, 200, 20_000
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 20_000, 128 << 20
 EPOCHS, RATE = 6, 4.0
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
@@ -87,13 +90,16 @@ def _features(rows: DataFrame) -> DataFrame:
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, part, text): the bounded sample of labelled rows that aren't held out; part is a hash."""
     labelled = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and trim(lang) <> ''").where(~held_out(F.col("doc_id")))
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not top:
-        return labelled.select("lang", F.lit(0).cast("bigint").alias("part"), "text").limit(0)
-    shares = F.create_map(*[F.lit(x) for row in top for x in (row["lang"], min(1.0, PER_LANGUAGE / row["count"]))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(chance < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)))
-    return chosen.select("lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1 << 30)).alias("part"), "text").orderBy("part", "lang").limit(SAMPLE_ROWS)
+    spread = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30))
+    rows = labelled.select("doc_id", "lang", spread("sample").alias("chance"), spread("part").alias("part"), F.least(F.lit(6 * BUCKETS), 6 * len(GRAMS) * F.octet_length("text")).alias("bytes"))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("first"))
+    per = F.least(F.lit(PER_LANGUAGE), F.floor(SAMPLE_ROWS / F.greatest(labels.agg(F.count("*")).scalar(), F.lit(1))))
+    picked = rows.join(labels, "lang").withColumn("lead", F.col("chance") == F.col("first")).where(F.col("lead") | (F.col("chance") * F.col("n") < per * (1 << 30)))
+    rank = [F.desc("lead"), F.asc("part"), F.asc("lang"), F.asc("doc_id")]
+    few = picked.groupBy("doc_id", "lang", "part", "lead").agg(F.max("bytes").alias("bytes")).orderBy(*rank).limit(SAMPLE_ROWS)
+    running = F.sum("bytes").over(Window.orderBy(*rank))
+    ids = few.withColumn("sent", running).where(F.col("sent") <= SAMPLE_BYTES).select("doc_id", "lang", "part")
+    return labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang", "part").agg(F.min("text").alias("text")).select("lang", "part", "text")
 
 
 def train(rows: list, epochs: int = EPOCHS, rate: float = RATE) -> Model | None:
