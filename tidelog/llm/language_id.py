@@ -32,6 +32,8 @@ from tidelog.llm import textkit
 GRAMS = (3, 4)
 BUCKETS, DIM = 1 << 15, 16
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 20_000, 128 << 20
+#: Rows of one label are joined with its count in so many groups.
+SALTS = 64
 EPOCHS, RATE = 6, 4.0
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
@@ -94,7 +96,8 @@ def sample(docs: DataFrame) -> DataFrame:
     rows = labelled.select("doc_id", "lang", spread("sample").alias("chance"), spread("part").alias("part"), F.least(F.lit(6 * BUCKETS), 6 * len(GRAMS) * F.octet_length("text")).alias("bytes"))
     labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("first"))
     per = F.least(F.lit(PER_LANGUAGE), F.floor(SAMPLE_ROWS / F.greatest(labels.agg(F.count("*")).scalar(), F.lit(1))))
-    picked = rows.join(labels, "lang").withColumn("lead", F.col("chance") == F.col("first")).where(F.col("lead") | (F.col("chance") * F.col("n") < per * (1 << 30)))
+    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    picked = rows.withColumn("salt", F.col("part") % SALTS).join(salted, ["lang", "salt"]).withColumn("lead", F.col("chance") == F.col("first")).where(F.col("lead") | (F.col("chance") * F.col("n") < per * (1 << 30)))
     rank = [F.desc("lead"), F.asc("part"), F.asc("lang"), F.asc("doc_id")]
     few = picked.groupBy("doc_id", "lang", "part", "lead").agg(F.max("bytes").alias("bytes")).orderBy(*rank).limit(SAMPLE_ROWS)
     running = F.sum("bytes").over(Window.orderBy(*rank))
