@@ -207,3 +207,27 @@ def test_validation_and_gates(spark):
     assert "judge_incomplete" in row["reasons"] and "incomplete_telemetry:submitted_frames" not in row["reasons"] and "incomplete_telemetry:response_first_token" not in row["reasons"]
     board = gates.leaderboard(spark.createDataFrame([("g", 1.0), ("g", 1.0), ("g", None)], "g string, m double"), "g", "m").orderBy("place").collect()
     assert [r["is_best"] for r in board] == [True, True, False]
+
+
+def test_union_total_equals_one_sort(spark):
+    from tidelog.operators.sweep import union_length, union_total
+
+    rows = spark.range(3000).selectExpr("cast(id * 7919 % 100000 as bigint) as s", "cast(id * 7919 % 100000 + id % 97 - 3 as bigint) as e")
+    rows = rows.unionAll(spark.createDataFrame([(5, 5), (5, 90_000), (None, 4), (4, None)], "s long, e long"))
+    for some in (rows, rows.where("e < 40000"), rows.where("s = 5"), rows.where("s is null")):
+        want = union_length(some, [], "s", "e").first()["length"]
+        assert [union_total(some, "s", "e", n).first()["length"] for n in (1, 2, 4096)] == [want] * 3
+
+
+def test_gpu_devices_keep_the_first_sample_and_the_largest_bytes(spark):
+    from tidelog.operators.telemetry import gpu_devices
+
+    device = "uuid string, device_id string, name string, baseline_bytes long, peak_bytes long"
+    rows = [
+        (2, {"gpu": {"devices": [("a", None, "later", 9, 4)]}}),
+        (1, {"gpu": {"devices": [("a", "7", "first", 1, 8), ("", "1", "second", None, 2), (None, None, None, 3, None)]}}),
+        (3, {"gpu": None}),
+    ]
+    events = spark.createDataFrame(rows, f"event_index int, telemetry struct<gpu: struct<devices: array<struct<{device.replace(' ', ': ').replace(',:', ',')}>>>>")
+    got = {r["device"]: (r["device_id"], r["name"], r["baseline_bytes"], r["peak_bytes"]) for r in gpu_devices(events).collect()}
+    assert got == {"a": ("7", "first", 9, 8), "1": ("1", "second", None, 2), "unknown": (None, None, 3, None)}

@@ -98,3 +98,15 @@ def distribution(values: DataFrame, column: str, population: Column | None = Non
         F.percentile(column, 0.95).alias("p95"),
         F.max(column).alias("max"),
     )
+
+
+def spread(column: Column, population: Column) -> Column:
+    """The fields of :func:`distribution` as one struct inside an aggregate."""
+    return F.struct(
+        population.alias("population_count"),
+        F.count(column).alias("observed_count"),
+        ratio(F.count(column), population).alias("coverage"),
+        F.percentile(column, 0.5).alias("p50"),
+        F.percentile(column, 0.95).alias("p95"),
+        F.max(column).alias("max"),
+    )

@@ -247,3 +247,74 @@ def judge_routing(spark, d):
     k = F.col("c_custkey")
     rows = s.table(spark, d, "customer").select(k.alias("call"), F.when(k % 3 == 0, "SSR").when(k % 3 == 1, " crr ").otherwise("OTHER").alias("task_type"), F.col("c_name").alias("question"), F.lit("Yes").alias("expected"), F.when(k % 2 == 0, "yes").otherwise("no").alias("prediction"))
     return scoring.judge(rows, "auto").select("call", "score", "score_method", F.col("judge_error").isNotNull().alias("has_error"))
+
+
+SUMMARY = (
+    with_views("ev")
+    + """, log AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN ns END AS committed, CASE WHEN event_id % 2 = 0 THEN value * 2 END AS lag, CASE WHEN event_id % 7 > 0 THEN event_id % 5 > 0 END AS on_time, CASE WHEN event_id % 4 = 0 THEN ns END AS sent,
+ CASE WHEN event_id % 3 = 0 THEN ns + 1000000 END AS first, CASE WHEN event_id % 8 = 0 THEN ns + 5000000 END AS done, CASE WHEN event_id % 5 = 0 THEN 9.0::DOUBLE END AS told FROM ev),
+ rec AS (SELECT DISTINCT record_id, record_id % 2 = 0 AS qa, record_id % 3 = 0 AS failed FROM ev), qas AS (SELECT record_id FROM rec WHERE qa),
+ seen AS (SELECT log.*, qas.record_id IS NOT NULL AS qa FROM log LEFT JOIN qas USING (record_id) WHERE kind = 'observation'),
+ q AS (SELECT CASE WHEN min(first) >= sent THEN (min(first) - sent) / 1e6 END AS ttft, CASE WHEN max(done) >= sent THEN (max(done) - sent) / 1e6 ELSE max(told) END AS total FROM log WHERE kind IN ('answer', 'wait') AND sent IS NOT NULL GROUP BY record_id, sent),
+ b AS (SELECT record_id, min(sent) AS dispatch, min(ns) FILTER (kind = 'observation') AS seen_ns FROM log WHERE record_id IN (SELECT record_id FROM qas) GROUP BY record_id HAVING min(sent) IS NOT NULL),
+ h AS (SELECT count(*) AS asked, quantile_cont(CASE WHEN dispatch >= seen_ns THEN (dispatch - seen_ns) / 1e9 END, 0.5) AS elapsed FROM b),
+ c AS (SELECT l_suppkey AS record_id, CASE WHEN l_returnflag = 'A' THEN 'mixed_boundary' ELSE l_returnflag END AS stage, epoch_us(l_shipdate) * 1000 + l_linenumber % 2 * 1900000000000000000 AS s, l_linenumber AS n,
+  CAST(l_quantity AS BIGINT) AS tokens, CASE WHEN l_discount > 0 THEN l_partkey END AS put FROM lineitem),
+ p AS (SELECT c.*, s + tokens * 86400000000000 AS e, CASE WHEN dispatch IS NOT NULL THEN CASE WHEN s + tokens * 86400000000000 <= dispatch THEN 'history' WHEN stage = 'mixed_boundary' OR (s < dispatch AND dispatch < s + tokens * 86400000000000) THEN 'mixed' ELSE 'query' END END AS phase FROM c LEFT JOIN b USING (record_id)),
+ spans AS (SELECT 'all' AS part, s, e FROM p UNION ALL SELECT phase, s, e FROM p WHERE phase IN ('history', 'mixed')),
+ busy AS (SELECT part, sum(greatest(0, e - greatest(s, coalesce(before, s)))) / 1e9 AS len FROM (SELECT *, max(e) OVER (PARTITION BY part ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans) GROUP BY part),
+ u AS (SELECT count(DISTINCT (record_id, event_id % 50)) AS n FROM ev WHERE event_id % 3 > 0),
+ o AS (SELECT count(*) AS n, count(*) FILTER (on_time) AS on_time, count(on_time) AS timed, count(committed) AS committed, count(lag) AS lags, quantile_cont(value, 0.5) AS processing, quantile_cont(lag, 0.95) AS lag, quantile_cont(value, 0.5) FILTER (qa) AS qa_processing FROM seen),
+ w AS (SELECT count(*) AS n, count(CASE WHEN event_id % 5 > 0 THEN 1 END) AS timed, quantile_cont(CASE WHEN event_id % 5 > 0 THEN value END, 0.5) AS latency FROM ev WHERE kind = 'answer' AND event_id % 2 = 0 AND event_id % 3 > 0),
+ k AS (SELECT count(*) AS n, sum(tokens)::BIGINT AS tokens, sum(put)::BIGINT AS put, count(put) / count(*) AS put_share, sum(n)::BIGINT AS frames, count(*) FILTER (phase = 'history') AS history, count(*) FILTER (phase = 'mixed') AS mixed,
+  (sum(tokens) FILTER (phase = 'history'))::BIGINT AS history_tokens, (sum(n) FILTER (phase = 'mixed'))::BIGINT AS mixed_frames FROM p)
+SELECT (SELECT quantile_cont(ttft, 0.5) FROM q) AS ttft_p50, (SELECT count(total) / count(*) FROM q) AS total_coverage, (SELECT max(total) FROM q) AS total_max, w.latency AS latency_p50, w.timed / w.n AS latency_coverage, o.processing AS processing_p50, o.lag AS lag_p95,
+ o.on_time / o.timed AS on_time_rate, o.committed / o.n AS completion_rate, greatest(0, o.n - u.n)::BIGINT AS dropped, greatest(0, k.frames - u.n)::BIGINT AS duplicates, (SELECT sum(event_id % 3) FROM ev)::BIGINT AS images,
+ k.tokens AS input_tokens, k.put AS output_tokens, k.put_share AS output_coverage, k.n AS call_count, (SELECT len FROM busy WHERE part = 'all') AS busy_s, (SELECT len FROM busy WHERE part = 'history') AS history_busy_s, (SELECT len FROM busy WHERE part = 'mixed') AS mixed_busy_s,
+ (SELECT count(*) FROM qas) AS questions, h.asked AS boundaries, h.elapsed AS elapsed_p50, o.qa_processing AS qa_processing_p50, k.history AS history_calls, k.mixed AS mixed_calls, k.history_tokens AS history_tokens, k.mixed_frames AS mixed_frames,
+ (SELECT count(*) FILTER (failed) / count(*) FROM rec) AS failure_rate, (SELECT count(*) FILTER (event_id % 3 = 0) / count(*) FROM ev WHERE kind = 'answer') AS first_token_coverage, (SELECT count(DISTINCT p_partkey % 9) FROM part) AS devices,
+ (SELECT max(p_size) FROM part)::BIGINT AS peak, (SELECT string_agg(stage || '=' || n, ';' ORDER BY stage) FROM (SELECT stage, count(*) AS n FROM c GROUP BY stage)) AS stages FROM o, w, u, h, k"""
+)
+
+
+@query(SUMMARY)
+def telemetry_summary(spark, d):
+    e, ns = F.col("event_id"), F.col("ns")
+    ev = s.event_log(spark, d)
+    none = F.lit(None)
+    log = ev.withColumns(
+        {
+            "commit_perf_ns": F.when(e % 3 > 0, ns), "frame_processing_ms": F.col("value"), "frame_lag_ms": F.when(e % 2 == 0, F.col("value") * 2), "on_time": F.when(e % 7 > 0, e % 5 > 0), "arrival_perf_ns": ns,
+            "query_id": none.cast("string"), "query_dispatch_perf_ns": F.when(e % 4 == 0, ns), "semantic_query_arrival_perf_ns": none.cast("bigint"), "first_token_perf_ns": F.when(e % 3 == 0, ns + 1_000_000),
+            "response_completion_perf_ns": F.when(e % 8 == 0, ns + 5_000_000), "ttft_ms": none.cast("double"), "response_total_ms": F.when(e % 5 == 0, 9.0), "failure_stage": none.cast("string"),
+            "transport_uploaded_image_count": e % 3, "transport_uploaded_image_total_bytes": e,
+        }
+    )
+    k = F.col("record_id")
+    records = ev.select("record_id").distinct().select(k, F.when(k % 2 == 0, "qa").otherwise("proactive").alias("task"), F.when(k % 3 == 0, "failed").otherwise("completed").alias("status"), none.cast("string").alias("failed_reason"))
+    li = s.table(spark, d, "lineitem")
+    start, tokens = s.micros(F.col("l_shipdate")) * 1000 + F.col("l_linenumber") % 2 * F.lit(1_900_000_000_000_000_000), F.col("l_quantity").cast("bigint")
+    calls = li.select(
+        F.col("l_suppkey").alias("record_id"), F.when(F.col("l_returnflag") == "A", "mixed_boundary").otherwise(F.col("l_returnflag")).alias("stage"), start.alias("start_perf_ns"), (start + tokens * 86_400_000_000_000).alias("end_perf_ns"),
+        tokens.alias("input_text_tokens"), F.when(F.col("l_discount") > 0, F.col("l_partkey")).alias("output_tokens"), F.col("l_linenumber").alias("submitted_frame_occurrences"), none.cast("bigint").alias("submitted_pixels"), none.cast("bigint").alias("num_cached_tokens"),
+    )
+    frames = ev.select("record_id", (e % 50).cast("string").alias("observation_id"), (e % 3).alias("submitted_occurrences"))
+    said = log.where("kind = 'answer'")
+    windows = said.select(F.when(e % 2 == 0, "in_window").otherwise("none").alias("source"), (e % 3 > 0).alias("is_answered"), F.when(e % 5 > 0, F.col("value")).alias("latency_ms"))
+    device = F.struct((F.col("p_partkey") % 9).cast("string").alias("uuid"), F.col("p_size").cast("bigint").alias("peak_bytes"))
+    gpu = s.table(spark, d, "part").select(F.col("p_partkey").alias("event_index"), F.struct(F.struct(F.lit("nvml").alias("backend"), F.lit(100.0).alias("sample_interval_ms"), F.lit(True).alias("attribution_ok"), F.array(device).alias("devices")).alias("gpu")).alias("telemetry"))
+    told = telemetry.summarize(log, calls, frames, records, windows, said, telemetry.gpu_summary(gpu), telemetry.gpu_devices(gpu))
+    fields = {
+        "responsiveness": {"ttft_ms.p50": "ttft_p50", "response_total_ms.coverage": "total_coverage", "response_total_ms.max": "total_max", "proactive_response_latency_ms.p50": "latency_p50", "frame_processing_ms.p50": "processing_p50", "frame_lag_ms.p95": "lag_p95", "on_time_frame_rate": "on_time_rate", "stream_completion_rate": "completion_rate"},
+        "visual_workload": {"dropped_frames": "dropped", "duplicate_frame_occurrences": "duplicates", "transport_uploaded_images": "images"},
+        "text_and_inference": {"input_text_tokens": "input_tokens", "output_tokens": "output_tokens", "model_call_count": "call_count", "inference_wall_time_s": "busy_s"},
+        "qa_history_processing": {"inference_wall_time_s": "history_busy_s", "mixed_boundary_inference_wall_time_s": "mixed_busy_s", "record_count": "questions", "query_boundary_count": "boundaries", "history_elapsed_wall_time_s.p50": "elapsed_p50", "frame_processing_ms.p50": "qa_processing_p50", "model_call_count": "history_calls", "mixed_boundary_model_call_count": "mixed_calls", "input_text_tokens": "history_tokens", "mixed_boundary_submitted_frame_occurrences": "mixed_frames"},
+        "reliability": {"records.failure_rate": "failure_rate"},
+        "telemetry_coverage": {"proactive_response_latency": "latency_coverage", "output_tokens": "output_coverage", "response_first_token": "first_token_coverage"},
+    }
+    stages = F.array_sort(F.transform(F.map_entries("text_and_inference.calls_by_stage"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))))
+    whole = {"dropped", "duplicates"}
+    return told.select(
+        *((F.col(f"{group}.{path}").cast("bigint") if name in whole else F.col(f"{group}.{path}")).alias(name) for group, paths in fields.items() for path, name in paths.items()),
+        F.size("gpu_memory.devices").cast("bigint").alias("devices"), F.array_max("gpu_memory.devices.peak_bytes").alias("peak"), F.array_join(stages, ";").alias("stages"),
+    )
