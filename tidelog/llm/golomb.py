@@ -1,4 +1,9 @@
-"""Golomb-Rice coding of sorted 64-bit numbers, in numpy."""
+"""Golomb-Rice coding of sorted 64-bit numbers, in numpy.
+
+A blob is three streams, one after the other from a whole byte on: the unary quotients of all gaps, each ended by a
+zero bit; the remainders, `bits` bits each, of all gaps but the far ones; the far gaps whole, in 64 bits. So decoding
+needs no step per number.
+"""
 
 from __future__ import annotations
 
@@ -21,40 +26,32 @@ def encode(values: np.ndarray, bits: int) -> bytes:
     gaps = np.diff(values, prepend=np.uint64(0))
     quotient = gaps >> np.uint64(bits)
     far = quotient >= ESCAPE
-    unary = np.where(far, ESCAPE, quotient).astype(np.int64)
-    tail = np.where(far, 64, bits).astype(np.int64)
-    width = unary + 1 + tail
-    start = np.cumsum(width) - width
-    total = int(start[-1] + width[-1])
-    out = np.zeros(total, dtype=np.uint8)
-    ones = np.repeat(start - np.concatenate(([0], np.cumsum(unary)[:-1])), unary) + np.arange(int(unary.sum()))
-    out[ones] = 1
-    body = start + unary + 1
-    for k in range(int(tail.max(initial=0))):
-        has = tail > k
-        shift = (tail - 1 - k)[has].astype(np.uint64)
-        out[body[has] + k] = ((gaps[has] >> shift) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(out).tobytes()
+    stops = np.cumsum(np.where(far, ESCAPE, quotient).astype(np.int64) + 1) - 1
+    unary = np.ones(int(stops[-1]) + 1, dtype=np.uint8)
+    unary[stops] = 0
+    near = gaps[~far]
+    rest = np.empty((len(near), bits), dtype=np.uint8)
+    for k in range(bits):
+        rest[:, k] = ((near >> np.uint64(bits - 1 - k)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(unary).tobytes() + np.packbits(rest).tobytes() + gaps[far].astype("<u8").tobytes()
 
 
 def decode(blob: bytes, count: int, bits: int) -> np.ndarray:
     """The `count` values that encode() coded with `bits`."""
-    out = np.zeros(count, dtype=np.uint64)
     if count == 0:
-        return out
-    stream = np.unpackbits(np.frombuffer(blob, dtype=np.uint8))
-    stops = np.flatnonzero(stream == 0)
-    unary, body = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
-    at, rank = 0, 0
-    for i in range(count):
-        while stops[rank] < at:
-            rank += 1
-        unary[i], body[i] = stops[rank] - at, stops[rank] + 1
-        at = body[i] + (64 if unary[i] == ESCAPE else bits)
+        return np.zeros(0, dtype=np.uint64)
+    raw = np.frombuffer(blob, dtype=np.uint8)
+    stops = np.flatnonzero(np.unpackbits(raw[: (count * (ESCAPE + 1) + 7) // 8]) == 0)[:count]
+    unary = np.diff(stops, prepend=-1) - 1
     far = unary == ESCAPE
-    for k in range(64):
-        for which, wide in ((far, 64), (~far, bits)):
-            if k < wide:
-                out[which] = (out[which] << np.uint64(1)) | stream[body[which] + k].astype(np.uint64)
-    out[~far] |= unary[~far].astype(np.uint64) << np.uint64(bits)
-    return np.cumsum(out, dtype=np.uint64)
+    near = count - int(far.sum())
+    begin = (int(stops[-1]) + 8) // 8
+    end = begin + (near * bits + 7) // 8
+    rest = np.unpackbits(raw[begin:end], count=near * bits).reshape(near, bits)
+    low = np.zeros(near, dtype=np.uint64)
+    for k in range(bits):
+        low = (low << np.uint64(1)) | rest[:, k]
+    gaps = np.empty(count, dtype=np.uint64)
+    gaps[~far] = (unary[~far].astype(np.uint64) << np.uint64(bits)) | low
+    gaps[far] = np.frombuffer(blob[end:], dtype="<u8", count=count - near)
+    return np.cumsum(gaps, dtype=np.uint64)
