@@ -32,6 +32,8 @@ from tidelog.llm.common import SPACES, materialize, shuffle_partitions
 
 #: Rows of a task that are coded together; bounds a task's memory.
 RUN_ROWS = 1_000_000
+#: Fingerprints that an owner gets at most, about; bounds an owner's memory.
+OWNER_ROWS = 4_000_000
 
 LISTS = "run string, owner int, count bigint, rice int, codes binary, repeated binary"
 
@@ -110,7 +112,7 @@ def suspects(lists: DataFrame, owners: int) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 (lowercase hex) of every row of docs."""
     spark = docs.sparkSession
-    owners = shuffle_partitions(spark)
+    owners = max(shuffle_partitions(spark), -(-docs.count() // OWNER_ROWS))
     lists = materialize(coded_lists(docs.select(fingerprint(F.col("text")).alias("print")), owners))
     cells = prefilter.cells(suspects(lists, owners), F.col("print"))
     rows = docs.select("doc_id", "text", fingerprint(F.col("text")).alias("print"))
