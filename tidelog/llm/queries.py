@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import byte_bpe, chat_format, exact_dedup, html_extract, language_id, language_model, near_dedup, packing, quality_rules, sharding
+from tidelog.llm import byte_bpe, chat_format, exact_dedup, fill_middle, html_extract, language_id, language_model, line_dedup, near_dedup, packing, quality_rules, sharding, whitening
 from tidelog.llm.common import table
 
 
@@ -85,6 +85,65 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.whiten(rows, whitening.fit(rows))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.rearrange(table(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("bigint").alias("prefix_chars"),
+        F.length("middle").cast("bigint").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"),
+        sha(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), c AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+    ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:least(one, two)], '') AS a, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS b,
+    array_to_string(units[greatest(one, two) + 1:], '') AS c FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (
+  SELECT key, min(doc_id) AS keep FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> keep) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (keep IS NULL OR doc_id = keep), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_chat_format": op2_chat_format,
@@ -96,5 +155,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
-ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op12_fill_middle": OP12_SQL, "op13_line_dedup": OP13_SQL}
