@@ -231,3 +231,65 @@ def test_gpu_devices_keep_the_first_sample_and_the_largest_bytes(spark):
     events = spark.createDataFrame(rows, f"event_index int, telemetry struct<gpu: struct<devices: array<struct<{device.replace(' ', ': ').replace(',:', ',')}>>>>")
     got = {r["device"]: (r["device_id"], r["name"], r["baseline_bytes"], r["peak_bytes"]) for r in gpu_devices(events).collect()}
     assert got == {"a": ("7", "first", 9, 8), "1": ("1", "second", None, 2), "unknown": (None, None, 3, None)}
+
+
+def greedy(wins, times, inclusive=False, fallback=True):
+    """What each window takes, by trying all episodes."""
+    used, out = set(), []
+    for a, b in wins:
+        inside = [k for k, t in times if k not in used and a <= t and (t <= b if inclusive else t < b)]
+        before = [k for k, t in times if k not in used and t < a] if fallback and not inside else []
+        out.append((min(inside) if inside else None, max(before) if before else None))
+        used |= {x for x in out[-1] if x is not None}
+    return out
+
+
+@pytest.mark.parametrize("boundary", ["half_open", "inclusive"])
+def test_assignment_of_plain_and_odd_records(spark, boundary):
+    """Tied, touching, nested and unordered windows, and episodes that aren't in order of time."""
+    import random
+
+    rng, specs, said, expected = random.Random(8), [], [], {}
+    for r in range(120):
+        starts = sorted(rng.randint(0, 12) for _ in range(rng.randint(1, 7)))
+        wins = [(float(s), float(min([s + rng.choice((0, 2, 4)) if r % 2 else s + 3, *[n for n in starts if n > s]]))) for s in starts]
+        if r % 4 == 3:
+            rng.shuffle(wins)
+        times = [rng.randint(0, 40) / 3 for _ in range(rng.randint(0, 9))]
+        times = list(enumerate(times if r % 5 == 0 else sorted(times)))
+        specs += [(f"{r}", i, a, b, b) for i, (a, b) in enumerate(wins)]
+        said += [(f"{r}", k, t) for k, t in times]
+        expected |= {(f"{r}", i): a if a is not None else b for i, (a, b) in enumerate(greedy(wins, times, boundary == "inclusive"))}
+    s = spark.createDataFrame(specs, "record_id string, position int, start_s double, end_s double, eventual_end_s double")
+    e = spark.createDataFrame(said, "record_id string, episode int, t double")
+    assert {(x["record_id"], x["position"]): x["episode"] for x in assignment.assign_strict(s, e, boundary).collect()} == expected
+    flags = assignment._rows(s.drop("eventual_end_s"), e, boundary).groupBy("record_id").agg({"plain": "min"}).collect()
+    assert {r[1] for r in flags} == {True, False}
+
+
+def test_assignment_in_long_records(spark):
+    """50,000 windows and episodes in one record, plain, and 20,000 that overlap; both in seconds, not hours."""
+    import bisect
+    import random
+
+    rng = random.Random(2)
+    times = sorted(rng.random() * 50_000 for _ in range(50_000))
+    said = spark.createDataFrame([("a", k, t) for k, t in enumerate(times)], "record_id string, episode int, t double")
+    specs = spark.range(50_000).selectExpr("'a' AS record_id", "CAST(id AS int) AS position", "CAST(id AS double) AS start_s", "id + 0.5D AS end_s")
+    found = {r.position: r.source for r in assignment.assign_strict(specs, said).collect()}
+    free = [0] * 50_000  # episodes of each second's second half go to a later window without any inside
+    inside = [0] * 50_000
+    for t in times:
+        (inside if t % 1 < 0.5 else free)[int(t)] += 1
+    left, expected = 0, {}
+    for k in range(50_000):
+        expected[k] = "in_window" if inside[k] else "before_window" if left else "no_output"
+        left += free[k] + max(0, inside[k] - 1) - (not inside[k] and left > 0)
+    assert found == expected
+    wide = [(float(k), k + 100.0) for k in range(20_000)]
+    got = assignment.assign_in_order(wide, list(enumerate(times)))
+    following = 0
+    for (start, end), (inside, _) in zip(wide, got, strict=True):
+        following = max(following, bisect.bisect_left(times, start))
+        assert inside == (following if times[following] < end else None)
+        following += inside is not None

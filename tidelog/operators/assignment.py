@@ -1,53 +1,161 @@
-"""One-to-one assignment of answered episodes to windows, in order of the windows."""
+"""One-to-one assignment of answered episodes to windows, in order of the windows.
+
+A record is plain if its windows come in order of their starts without overlapping, but for windows that are equal,
+and if its episodes come in order of time. Plain records need no loop: the k-th of equal windows takes the k-th
+episode inside, and what is left over is matched like brackets. Time runs over episodes that no window took (each
+opens a bracket) and windows that took none (each closes the last one open), so running counts pair them. All of it is
+sorts under one shuffle by record. The others go through their windows one by one over a tree of free episodes, record
+by record, in logarithmic time a window.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.windows import contains
-
-CHOSEN = "array<struct<position:int,source:string,episode:int>>"
-
-
-def _per_record(specs: DataFrame, episodes: DataFrame) -> DataFrame:
-    windows = specs.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("position", "start_s", "end_s", "eventual_end_s"))).alias("windows"))
-    answers = episodes.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("episode", "t"))).alias("episodes"))
-    return windows.join(answers, "record_id", "left").withColumn("episodes", F.coalesce("episodes", F.array().cast("array<struct<episode:int,t:double>>")))
-
 
-def _fold(pick) -> Column:
-    def step(acc: Column, w: Column) -> Column:
-        free = F.filter("episodes", lambda e: ~F.exists(acc, lambda a: a["episode"].eqNullSafe(e["episode"])))
-        source, episode = pick(w, free)
-        return F.concat(acc, F.array(F.struct(w["position"].alias("position"), source.alias("source"), episode.alias("episode"))))
-
-    return F.aggregate("windows", F.array().cast(CHOSEN), step)
+def _inside(t: Column, end: Column, boundary: str) -> Column:
+    if boundary not in ("half_open", "inclusive"):
+        raise ValueError("the boundary is half_open or inclusive")
+    return t <= end if boundary == "inclusive" else t < end
+
+
+def _rows(windows: DataFrame, episodes: DataFrame, boundary: str) -> DataFrame:
+    """Windows (kind 0) and episodes (kind 1) in one table, and whether their record is plain."""
+    w = windows.select("record_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), F.col("position").alias("number"), F.struct("start_s", "end_s").alias("held"))
+    e = episodes.select("record_id", "t", F.lit(1).alias("kind"), F.col("episode").alias("number"), F.lit(None).cast(w.schema["held"].dataType).alias("held"))
+    told = Window.partitionBy("record_id", "kind").orderBy("number")
+    held, last = F.lag("held").over(told), F.lag("t").over(told)
+    apart = F.col("t") > held["end_s"] if boundary == "inclusive" else F.col("t") >= held["end_s"]
+    window_ok = held.isNull() | (F.col("held") == held) | ((F.col("t") >= held["start_s"]) & apart)
+    rows = w.unionByName(e).withColumn("ok", F.when(F.col("kind") == 0, window_ok).otherwise(last.isNull() | (F.col("t") >= last)))
+    return rows.withColumn("plain", F.min("ok").over(Window.partitionBy("record_id"))).drop("ok")
+
+
+def _plain(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
+    """(record_id, position, inside, before) of plain records."""
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy("t", "kind", "number")))
+    in_time = Window.partitionBy("record_id").orderBy("place")
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("held", F.last("held", ignorenulls=True).over(so_far))
+    within = (F.col("kind") == 0) | F.coalesce(_inside(F.col("t"), F.col("held.end_s"), boundary), F.lit(False))
+    rows = rows.withColumn("at", F.when(within, F.col("held")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("record_id", "at", "kind").orderBy("place")))
+    pair = Window.partitionBy("record_id", "at", "rank")
+    rows = rows.withColumns({"inside": F.when(F.col("at").isNotNull(), F.max(F.when(F.col("kind") == 1, F.col("number"))).over(pair)), "asked": F.col("at").isNotNull() & (F.min("kind").over(pair) == 0)})
+    found = ["record_id", F.col("number").alias("position"), "inside"]
+    if not fallback:
+        return rows.where("kind = 0").select(*found, F.lit(None).cast("int").alias("before"))
+    step = F.when((F.col("kind") == 0) & F.col("inside").isNull(), -1).when((F.col("kind") == 1) & ~F.col("asked"), 1).otherwise(0)
+    rows = rows.withColumn("step", step).withColumn("sum", F.sum("step").over(so_far))
+    rows = rows.withColumn("least", F.least(F.lit(0), F.min("sum").over(so_far)))
+    alone = (F.col("step") < 0) & (F.col("sum") < F.coalesce(F.lag("least").over(in_time), F.lit(0)))
+    depth = F.col("sum") - F.col("least") + F.when(F.col("step") < 0, 1).otherwise(0)
+    rows = rows.withColumn("level", F.when((F.col("step") != 0) & ~alone, depth))
+    opened = F.lag("number").over(Window.partitionBy("record_id", "level").orderBy("place"))
+    rows = rows.withColumn("before", F.when((F.col("step") < 0) & F.col("level").isNotNull(), opened))
+    return rows.where("kind = 0").select(*found, "before")
+
+
+class FreeEpisodes:
+    """Episodes in order of time; the least and greatest free number in a range of times, as a tree over the range."""
+
+    def __init__(self, episodes: list[tuple[int, float]]) -> None:
+        found = sorted((t, k) for k, t in episodes)
+        self.times = [t for t, _ in found]
+        self.place = {k: i for i, (_, k) in enumerate(found)}
+        self.size = len(found)
+        self.least: list = [None] * self.size + [k for _, k in found]
+        for i in range(self.size - 1, 0, -1):
+            self._join(i)
+        self.most: list = list(self.least)
+        for i in range(self.size - 1, 0, -1):
+            self.most[i] = self._pick(max, self.most[2 * i], self.most[2 * i + 1])
+
+    @staticmethod
+    def _pick(best, a, b):
+        return b if a is None else a if b is None else best(a, b)
+
+    def _join(self, i: int) -> None:
+        self.least[i] = self._pick(min, self.least[2 * i], self.least[2 * i + 1])
+
+    def _find(self, tree: list, best, a: int, b: int):
+        out, a, b = None, a + self.size, b + self.size
+        while a < b:
+            if a & 1:
+                out, a = self._pick(best, out, tree[a]), a + 1
+            if b & 1:
+                b -= 1
+                out = self._pick(best, out, tree[b])
+            a, b = a >> 1, b >> 1
+        return out
+
+    def first(self, start: float, end: float, inclusive: bool) -> int | None:
+        """The first free episode from start to end."""
+        return self._find(self.least, min, bisect_left(self.times, start), (bisect_right if inclusive else bisect_left)(self.times, end))
+
+    def last_before(self, start: float) -> int | None:
+        return self._find(self.most, max, 0, bisect_left(self.times, start))
+
+    def take(self, episode: int) -> None:
+        i = self.place[episode] + self.size
+        self.least[i] = self.most[i] = None
+        while i := i >> 1:
+            self._join(i)
+            self.most[i] = self._pick(max, self.most[2 * i], self.most[2 * i + 1])
+
+
+def assign_in_order(windows: list[tuple[float, float]], episodes: list[tuple[int, float]], inclusive: bool = False, fallback: bool = True) -> list[tuple[int | None, int | None]]:
+    """For each window (start, end), in order, the free episode (number, time) that it takes: (inside, before)."""
+    free, out = FreeEpisodes(episodes), []
+    for start, end in windows:
+        inside = free.first(start, end, inclusive)
+        before = free.last_before(start) if fallback and inside is None else None
+        if (found := before if inside is None else inside) is not None:
+            free.take(found)
+        out.append((inside, before))
+    return out
+
+
+def _in_order(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
+    """(record_id, position, inside, before) of any records."""
+    key = rows.schema["record_id"].dataType.simpleString()
+
+    def assign(group: pa.Table) -> pa.Table:
+        told = list(zip(group["kind"].to_pylist(), group["number"].to_pylist(), group["t"].to_pylist(), group["end_s"].to_pylist(), strict=True))
+        windows = sorted(r[1:] for r in told if r[0] == 0)
+        found = assign_in_order([w[1:] for w in windows], [r[1:3] for r in told if r[0] == 1], boundary == "inclusive", fallback)
+        columns = {"record_id": group["record_id"].slice(0, len(windows)), "position": pa.array([w[0] for w in windows], pa.int32())}
+        return pa.table(columns | {name: pa.array([f[k] for f in found], pa.int32()) for k, name in enumerate(("inside", "before"))})
+
+    asked = rows.select("record_id", "kind", "number", "t", F.col("held.end_s").alias("end_s"))
+    return asked.groupBy("record_id").applyInArrow(assign, f"record_id {key}, position int, inside int, before int")
+
+
+def _assign(specs: DataFrame, episodes: DataFrame, end: str, boundary: str, fallback: bool) -> DataFrame:
+    """(record_id, position, inside, before); an end that is null is never reached, a start that is null never begins."""
+    never, last = F.lit(float("-inf")), F.lit(float("inf"))
+    until = F.when(F.col("start_s").isNull(), never).otherwise(F.coalesce(end, last))
+    w = specs.select("record_id", F.col("position").cast("int").alias("position"), F.coalesce("start_s", never).alias("start_s"), until.alias("end_s"))
+    e = episodes.where("t is not null").select("record_id", F.col("episode").cast("int").alias("episode"), F.col("t").cast("double").alias("t"))
+    rows = _rows(w, e, boundary)
+    return _plain(rows.where("plain"), boundary, fallback).unionByName(_in_order(rows.where("not plain"), boundary, fallback))
 
 
 def assign_strict(specs: DataFrame, episodes: DataFrame, boundary: str = "half_open") -> DataFrame:
     """(record_id, position, source, episode): a window takes the first free episode inside it, else the last free
-    one before it, else none. Either uses the episode up. A record's windows are gone through in order, as a fold."""
-
-    def pick(w: Column, free: Column):
-        inside = F.get(F.filter(free, lambda e: contains(e["t"], w["start_s"], w["end_s"], boundary)), 0)["episode"]
-        before = F.try_element_at(F.filter(free, lambda e: e["t"] < w["start_s"]), F.lit(-1))["episode"]
-        source = F.when(inside.isNotNull(), "in_window").when(before.isNotNull(), "before_window").otherwise("no_output")
-        return source, F.coalesce(inside, before).cast("int")
-
-    out = _per_record(specs, episodes).select("record_id", F.explode(_fold(pick)).alias("c"))
-    return out.select("record_id", "c.position", "c.source", "c.episode")
+    one before it, else none. Either uses the episode up."""
+    source = F.when(F.col("inside").isNotNull(), "in_window").when(F.col("before").isNotNull(), "before_window").otherwise("no_output")
+    return _assign(specs, episodes, "end_s", boundary, True).select("record_id", "position", source.alias("source"), F.coalesce("inside", "before").alias("episode"))
 
 
 def assign_eventual(specs: DataFrame, episodes: DataFrame) -> DataFrame:
     """(record_id, position, source, episode): the first free episode from the trigger to the eventual end."""
-
-    def pick(w: Column, free: Column):
-        found = F.get(F.filter(free, lambda e: (e["t"] >= w["start_s"]) & (w["eventual_end_s"].isNull() | (e["t"] < w["eventual_end_s"]))), 0)["episode"]
-        return F.when(found.isNotNull(), "eventual").otherwise("no_output"), found.cast("int")
-
-    out = _per_record(specs, episodes).select("record_id", F.explode(_fold(pick)).alias("c"))
-    return out.select("record_id", "c.position", "c.source", "c.episode")
+    source = F.when(F.col("inside").isNotNull(), "eventual").otherwise("no_output")
+    return _assign(specs, episodes, "eventual_end_s", "half_open", False).select("record_id", "position", source.alias("source"), F.col("inside").alias("episode"))
 
 
 def first_inside(specs: DataFrame, episodes: DataFrame, end: str = "end_s") -> DataFrame:
