@@ -144,7 +144,7 @@ def flat_log(spark: SparkSession, d: str) -> DataFrame:
     )
     return c.select(
         F.col("conv_id").alias("record_id"), turn.alias("event_index"), F.when(F.col("role") == "assistant", "output.answer").when(F.col("role") == "user", F.when(turn % 4 == 0, "WAIT").otherwise("Answer")).otherwise("telemetry").alias("kind"),
-        F.col("turn").cast("double").alias("logical_time_s"), "text", F.when(at % 11 != 0, F.concat(F.lit("r"), (turn % 3).cast("string"))).alias("response_id"), number.cast("string").alias("sequence_id"),
+        F.col("turn").cast("double").alias("logical_time_s"), "text", F.when(at % 11 != 0, F.concat(F.lit("r"), (turn % 2).cast("string"))).alias("response_id"), number.cast("string").alias("sequence_id"),
         F.when(turn % 4 == 1, "delta").when(turn % 4 == 3, "SNAPSHOT").otherwise("complete").alias("text_mode"), (at % 5 == 0).alias("is_final"), F.when(at % 13 == 0, "Silent").alias("response_decision"),
         F.when(at % 3 == 0, 1_700_000_000_000_000_001 + F.col("turn")).alias("first_token_perf_ns"), told.alias("telemetry"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn") * 5).alias("ts"),
     )
@@ -184,10 +184,10 @@ FLAT_SQL = """WITH t AS (
     CASE WHEN conv_id % 3 = 0 THEN turn * 2 WHEN conv_id % 3 = 1 AND turn % 2 = 0 THEN 100 - turn END AS number FROM conversations
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY number IS NULL, number, turn) AS place,
-    CASE WHEN a % 11 <> 0 THEN 'r' || (turn % 3)::VARCHAR ELSE '' END AS rid, turn % 2 = 1 AS part, a % 5 = 0 AS final,
+    CASE WHEN a % 11 <> 0 THEN 'r' || (turn % 2)::VARCHAR ELSE '' END AS rid, turn % 2 = 1 AS part, a % 5 = 0 AS final,
     CASE WHEN role = 'assistant' OR role = 'user' AND turn % 4 <> 0 THEN 'answer' WHEN role = 'user' THEN 'wait' ELSE 'telemetry' END AS kind,
     NOT (a % 17 = 0 OR a % 7 = 0 OR turn >= 5) AS eligible,
-    (turn >= 5 OR a % 14 = 0) AND turn % 2 = 1 AND a % 17 <> 0 AND a % 19 <> 0 AS late FROM t
+    (turn >= 5 OR a % 14 = 0) AND turn % 4 = 1 AND a % 17 <> 0 AND a % 19 <> 0 AS late FROM t
 ), f AS (
   SELECT *, kind = 'wait' OR a % 13 = 0 AS silent, kind = 'answer' AND a % 13 <> 0 AND body <> '' AS said FROM k
 ), g AS (
