@@ -11,6 +11,7 @@ by record, in logarithmic time a window.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -120,14 +121,15 @@ def assign_in_order(windows: list[tuple[float, float]], episodes: list[tuple[int
     return out
 
 
-def _in_order(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
-    """(record_id, position, inside, before) of any records."""
+def _in_order(rows: DataFrame, choose) -> DataFrame:
+    """(record_id, position, inside, before) of any records; choose gives a row for each of a record's windows
+    (start, end), in order of their positions, over its episodes (number, time)."""
     key = rows.schema["record_id"].dataType.simpleString()
 
     def assign(group: pa.Table) -> pa.Table:
         told = list(zip(group["kind"].to_pylist(), group["number"].to_pylist(), group["t"].to_pylist(), group["end_s"].to_pylist(), strict=True))
         windows = sorted(r[1:] for r in told if r[0] == 0)
-        found = assign_in_order([w[1:] for w in windows], [r[1:3] for r in told if r[0] == 1], boundary == "inclusive", fallback)
+        found = choose([w[1:] for w in windows], [r[1:3] for r in told if r[0] == 1])
         columns = {"record_id": group["record_id"].slice(0, len(windows)), "position": pa.array([w[0] for w in windows], pa.int32())}
         return pa.table(columns | {name: pa.array([f[k] for f in found], pa.int32()) for k, name in enumerate(("inside", "before"))})
 
@@ -135,14 +137,20 @@ def _in_order(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
     return asked.groupBy("record_id").applyInArrow(assign, f"record_id {key}, position int, inside int, before int")
 
 
-def _assign(specs: DataFrame, episodes: DataFrame, end: str, boundary: str, fallback: bool) -> DataFrame:
-    """(record_id, position, inside, before); an end that is null is never reached, a start that is null never begins."""
+def _told(specs: DataFrame, episodes: DataFrame, end: str, boundary: str) -> DataFrame:
+    """The rows to assign; an end that is null is never reached, a start that is null never begins."""
     never, last = F.lit(float("-inf")), F.lit(float("inf"))
     until = F.when(F.col("start_s").isNull(), never).otherwise(F.coalesce(end, last))
     w = specs.select("record_id", F.col("position").cast("int").alias("position"), F.coalesce("start_s", never).alias("start_s"), until.alias("end_s"))
     e = episodes.where("t is not null").select("record_id", F.col("episode").cast("int").alias("episode"), F.col("t").cast("double").alias("t"))
-    rows = _rows(w, e, boundary)
-    return _plain(rows.where("plain"), boundary, fallback).unionByName(_in_order(rows.where("not plain"), boundary, fallback))
+    return _rows(w, e, boundary)
+
+
+def _assign(specs: DataFrame, episodes: DataFrame, end: str, boundary: str, fallback: bool) -> DataFrame:
+    """(record_id, position, inside, before)."""
+    rows = _told(specs, episodes, end, boundary)
+    odd = _in_order(rows.where("not plain"), lambda windows, said: assign_in_order(windows, said, boundary == "inclusive", fallback))
+    return _plain(rows.where("plain"), boundary, fallback).unionByName(odd)
 
 
 def assign_strict(specs: DataFrame, episodes: DataFrame, boundary: str = "half_open") -> DataFrame:
@@ -158,6 +166,32 @@ def assign_eventual(specs: DataFrame, episodes: DataFrame) -> DataFrame:
     return _assign(specs, episodes, "eventual_end_s", "half_open", False).select("record_id", "position", source.alias("source"), F.col("inside").alias("episode"))
 
 
+def first_windows(windows: list[tuple[float, float]], episodes: list[tuple[int, float]]) -> list[tuple[int | None, None]]:
+    """Episodes, in order of time, each to the first window in order that has it inside and has none yet.
+
+    A heap has the windows that have begun; what is on its top and has ended never comes back.
+    """
+    begins, at, open_ = sorted((start, k) for k, (start, _) in enumerate(windows)), 0, []
+    out: list[tuple[int | None, None]] = [(None, None)] * len(windows)
+    for t, number in sorted((t, k) for k, t in episodes):
+        while at < len(begins) and begins[at][0] <= t:
+            heappush(open_, begins[at][1])
+            at += 1
+        while open_ and windows[open_[0]][1] <= t:
+            heappop(open_)
+        if open_:
+            out[heappop(open_)] = (number, None)
+    return out
+
+
+def assign_at_run_time(specs: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(record_id, position, episode): in order of time each episode goes to the first window, by position, that holds
+    it and has none yet; an episode that finds none has no row. Windows are half-open."""
+    rows = _told(specs, episodes, "end_s", "half_open")
+    found = _plain(rows.where("plain"), "half_open", False).unionByName(_in_order(rows.where("not plain"), first_windows))
+    return found.where("inside is not null").select("record_id", "position", F.col("inside").alias("episode"))
+
+
 def first_inside(specs: DataFrame, episodes: DataFrame, end: str = "end_s") -> DataFrame:
     """The first episode in each window, for windows that don't overlap: (record_id, position, episode, t).
 

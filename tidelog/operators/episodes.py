@@ -128,12 +128,67 @@ def assemble(events: DataFrame) -> DataFrame:
     return out.withColumn("episode", number)
 
 
-def legacy_events(records: DataFrame) -> DataFrame:
-    """Events of records (record_id, model_steps) from before event logs: a step that says nothing or wait is a wait."""
+#: The fields of events that stand for the steps of records from before event logs.
+LEGACY_EVENT = "struct<event_id: string, kind: string, logical_time_s: double, text: string, telemetry: struct<ttft_ms: double>>"
+
+
+def _legacy(steps: Column) -> Column:
+    """Steps (step_t, prediction, ttft_ms) as events: one that says nothing or wait is a wait."""
     from tidelog.functions.text import is_answered
 
-    steps = records.select("record_id", F.posexplode("model_steps").alias("event_index", "step"))
-    return steps.select("record_id", "event_index", F.when(is_answered(F.col("step.text")), "answer").otherwise("wait").alias("kind"), F.col("step.time_s").alias("logical_time_s"), F.col("step.text").alias("text"))
+    def event(step: Column, k: Column) -> Column:
+        says = is_answered(step["prediction"])
+        said = F.struct(
+            F.concat(F.lit("legacy-step-"), k.cast("string")).alias("event_id"),
+            F.when(says, "answer").otherwise("wait").alias("kind"),
+            F.coalesce(step["step_t"], F.lit(0.0)).alias("logical_time_s"),
+            F.when(says, step["prediction"]).otherwise("WAIT").alias("text"),
+            F.struct(step["ttft_ms"].alias("ttft_ms")).alias("telemetry"),
+        )
+        return F.when(step.isNotNull(), said)
+
+    return F.filter(F.transform(steps, event), lambda e: e.isNotNull())
+
+
+def legacy_events(records: DataFrame) -> DataFrame:
+    """Events of records (record_id, model_steps) from before event logs."""
+    rows = records.select("record_id", F.posexplode(_legacy(F.col("model_steps"))).alias("event_index", "event"))
+    return rows.select("record_id", "event_index", "event.*")
+
+
+def event_source(records: DataFrame, given: bool) -> DataFrame:
+    """(record_id, source): where a record's events come from. A log that is given holds for all records, also for
+    those that it has no events of; else a record's own events do, if there are any, else its legacy steps, else none."""
+    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0 if c in records.columns else F.lit(False)
+    source = F.lit("sidecar") if given else F.when(has("events"), "embedded").when(has("model_steps"), "legacy").otherwise("none")
+    return records.select("record_id", source.alias("source"))
+
+
+def events_of(records: DataFrame, sidecar: DataFrame | None = None) -> DataFrame:
+    """The events of records (record_id[, events][, model_steps]) by :func:`event_source`, with event_index.
+
+    One pass: a record's array is its own events or those of its steps, and is unpacked once. Fields that one kind of
+    event lacks are null.
+    """
+    if sidecar is not None:
+        return sidecar
+    legacy = _legacy(F.col("model_steps")) if "model_steps" in records.columns else F.lit(None).cast(f"array<{LEGACY_EVENT}>")
+    if "events" not in records.columns:
+        return legacy_events(records) if "model_steps" in records.columns else records.select("record_id", F.explode(legacy).alias("event")).select("record_id", F.lit(0).alias("event_index"), "event.*")
+    kind = records.schema["events"].dataType.elementType
+
+    def widened(step: Column) -> Column:
+        def part(f) -> Column:
+            if f.name == "telemetry" and hasattr(f.dataType, "fields"):
+                inner = [(step["telemetry"]["ttft_ms"] if g.name == "ttft_ms" else F.lit(None)).cast(g.dataType).alias(g.name) for g in f.dataType.fields]
+                return F.struct(*inner).alias(f.name)
+            return (step[f.name] if f.name in ("event_id", "kind", "logical_time_s", "text") else F.lit(None)).cast(f.dataType).alias(f.name)
+
+        return F.struct(*(part(f) for f in kind.fields))
+
+    own = F.when(F.size("events") > 0, F.col("events")).otherwise(F.transform(legacy, widened))
+    rows = records.select("record_id", F.posexplode(own).alias("event_index", "event"))
+    return rows.select("record_id", "event_index", "event.*")
 
 
 def failure_reason(events: DataFrame) -> DataFrame:

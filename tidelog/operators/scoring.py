@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as tx
+from tidelog.functions.timeplan import EPSILON
 from tidelog.operators import views
-from tidelog.operators.assignment import assign_eventual, assign_strict
+from tidelog.operators.assignment import assign_at_run_time, assign_eventual, assign_strict
 from tidelog.operators.episodes import assemble, event_kind
 from tidelog.operators.sweep import first_from
 from tidelog.operators.windows import observability
-
+from tidelog.sources.folders import stored
 
 #: Fixed value: the task types whose answers are compared by meaning.
 SEMANTIC_TASKS = ("CRR", "SSR")
@@ -101,17 +102,47 @@ def latency(rows: DataFrame, observations: DataFrame, tolerance: float = 0.0) ->
     return rows.join(arrived, ["record_id", "position"], "left").withColumn("latency_ms", F.when(gap >= 0, gap))
 
 
+def run_time_latency(specs: DataFrame, episodes: DataFrame, observations: DataFrame) -> DataFrame:
+    """What a run notes of a response as it comes: (record_id, episode, position, trigger_video_time_s,
+    trigger_arrival_ns, response_arrival_ns, latency_ms).
+
+    episodes: (record_id, episode, t) and any of scoring_perf_ns, first_token_perf_ns, core_event_receive_perf_ns and
+    arrival_perf_ns, which tell the response's arrival, in this order. The trigger arrives with the first observation
+    (record_id, t, event_index, arrival_ns) in the order of the log from 1e-9 s before the window's start on. Rows
+    without either arrival, or with a response before its trigger, drop out.
+    """
+    told = [F.col(c) for c in ("scoring_perf_ns", "first_token_perf_ns", "core_event_receive_perf_ns", "arrival_perf_ns") if c in episodes.columns]
+    placed = assign_at_run_time(specs, episodes).join(episodes.select("record_id", "episode", F.coalesce(*told).alias("response_arrival_ns")), ["record_id", "episode"])
+    starts = placed.join(specs.select("record_id", "position", "start_s"), ["record_id", "position"])
+    seen = observations.where("arrival_ns is not null").withColumn("seen", F.struct(F.col("t").alias("t"), F.col("arrival_ns").alias("ns")))
+    arrived = first_from(starts.select("record_id", "position", "start_s"), seen, "event_index", "seen", tolerance=EPSILON).drop("start_s")
+    both = placed.join(arrived, ["record_id", "position"]).where(F.col("response_arrival_ns") >= F.col("seen.ns"))
+    gap = (F.col("response_arrival_ns") - F.col("seen.ns")) / F.lit(1e6)
+    return both.select("record_id", "episode", "position", F.col("seen.t").alias("trigger_video_time_s"), F.col("seen.ns").alias("trigger_arrival_ns"), "response_arrival_ns", gap.alias("latency_ms"))
+
+
+def last_predictions(records: DataFrame, events: DataFrame) -> DataFrame:
+    """(record_id, prediction) of every record: the episode after the question, else the last answer that was sent and
+    isn't a wait, else what the record has stored, else nothing said ('')."""
+    stored = F.col("prediction") if "prediction" in records.columns else F.lit(None).cast("string")
+    base = records.select("record_id", stored.alias("stored"))
+    made = query_predictions(assemble(events)).withColumnRenamed("prediction", "made")
+    last = last_answers(events).withColumnRenamed("prediction", "last")
+    return base.join(made, "record_id", "left").join(last, "record_id", "left").select("record_id", F.coalesce("made", "last", "stored", F.lit("")).alias("prediction"))
+
+
 def score_windows(records: DataFrame, specs: DataFrame, events: DataFrame, boundary: str = "half_open", mode: str = "exact", semantic: tuple[str, ...] = SEMANTIC_TASKS, model=None) -> dict[str, DataFrame]:
     """Scores proactive windows: strict and eventual rows, the answered episodes and the judged calls.
 
     records: (record_id, task_type, instruction). specs: window specs with expected_answer. events: resolved events
-    with event_index, and arrival_perf_ns if observations have one.
+    with event_index, and arrival_perf_ns if observations have one. Episodes and assignments are stored, as all that
+    follows reads them.
     """
-    episodes = assemble(events)
-    said = answered(episodes)
+    episodes = stored(assemble(events))
+    said = stored(answered(episodes))
     arrival = F.col("arrival_perf_ns") if "arrival_perf_ns" in events.columns else F.lit(None).cast("bigint")
     seen = events.where(event_kind(F.col("kind")) == "observation").select("record_id", F.coalesce("logical_time_s", F.lit(0.0)).alias("t"), "event_index", arrival.alias("arrival_ns"))
-    parts = {"strict": (assign_strict(specs, said, boundary), "end_s"), "eventual": (assign_eventual(specs, said), "eventual_end_s")}
+    parts = {"strict": (stored(assign_strict(specs, said, boundary)), "end_s"), "eventual": (stored(assign_eventual(specs, said)), "eventual_end_s")}
     text = said.select("record_id", "episode", F.col("text").alias("prediction"), "response_id", F.col("t").alias("response_start_s"), F.col("end_video_time_s").alias("response_end_s"), F.coalesce("scoring_perf_ns", "first_token_perf_ns").alias("response_ns"), "source_event_ids")
     rows = {}
     for n, (view, (assigned, end)) in enumerate(parts.items()):

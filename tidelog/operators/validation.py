@@ -126,6 +126,49 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(same).withColumn("side", F.lit("left")).unionByName(same.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def event_drift(records: DataFrame, events: DataFrame) -> DataFrame:
+    """(record_id, embedded, logged, state): a record's own events against those of the log, in order.
+
+    records: (record_id, events: an array of structs, null if there are none). events: (record_id, event_index and the
+    fields of the structs); event_index orders a record's events. Both sides come down to a number of events and two
+    64-bit sums over (place, event), so no record's events are gathered; fields that are null and fields that are
+    absent are alike. State is same, differs, or not_embedded.
+    """
+    fields = [f.name for f in records.schema["events"].dataType.elementType.fields]
+    text = lambda row: F.to_json(row, {"ignoreNullFields": "true"})
+    digest = [F.bit_xor(F.xxhash64("place", "event", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    own = records.where("events is not null").select("record_id", F.posexplode_outer("events").alias("place", "event"))
+    own = own.withColumn("event", text(F.col("event"))).groupBy("record_id").agg(F.count("place").alias("embedded"), *(F.when(F.count("place") > 0, d).alias(f"own{k}") for k, d in enumerate(digest)))
+    place = (F.row_number().over(Window.partitionBy("record_id").orderBy("event_index")) - 1).cast("int")
+    log = events.select("record_id", place.alias("place"), text(F.struct(*fields)).alias("event"))
+    log = log.groupBy("record_id").agg(F.count("*").alias("logged"), *digest)
+    both = records.select("record_id").join(own, "record_id", "left").join(log, "record_id", "left").withColumn("logged", F.coalesce("logged", F.lit(0)))
+    same = (F.col("embedded") == F.col("logged")) & ((F.col("logged") == 0) | ((F.col("own0") == F.col("x0")) & (F.col("own1") == F.col("x1"))))
+    return both.select("record_id", "embedded", "logged", F.when(F.col("embedded").isNull(), "not_embedded").when(same, "same").otherwise("differs").alias("state"))
+
+
+#: What reviewed records are counted by, each on its own.
+ROLLUPS = (("dataset", "mode"), ("task_type",), ("disposition",), ("tier",), ())
+
+
+def review_rollups(reviews: DataFrame, removed: str = "remove") -> DataFrame:
+    """Counts of reviews (dataset, mode, task_type, disposition, tier) by each of ROLLUPS in one pass.
+
+    rollup names the columns of a row's count, joined by ':' ('all' for none); the others are null. included_count
+    leaves out the records whose disposition is removed; a disposition that is null is a record without a review.
+    """
+    names = sorted({c for by in ROLLUPS for c in by})
+    sets = [[F.col(c) for c in by] for by in ROLLUPS]
+    counted = reviews.groupingSets(sets, *names).agg(
+        *(F.grouping(c).alias(f"without_{c}") for c in names),
+        F.count("*").alias("record_count"),
+        F.count_if(~F.col("disposition").eqNullSafe(removed)).alias("included_count"),
+        F.count("disposition").alias("review_count"),
+    )
+    told = F.concat_ws(":", *(F.when(F.col(f"without_{c}") == 0, c) for c in names))
+    return counted.select(F.when(told == "", "all").otherwise(told).alias("rollup"), *names, "record_count", "included_count", "review_count")
+
+
 def is_partition(parts: list[DataFrame], whole: DataFrame, key: str) -> DataFrame:
     """One row: ids that several parts have, that no part has, and that only parts have."""
     every = parts[0].select(key)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.operators.sweep import points_inside
 
@@ -39,25 +41,60 @@ def explode_windows(records: DataFrame) -> DataFrame:
     )
 
 
+def _next_by_rank(triggers: DataFrame) -> DataFrame:
+    """Adds next_trigger_s, the next distinct start, where starts ascend with positions."""
+    by_record = Window.partitionBy("record_id")
+    ranked = triggers.withColumn("__rank", F.dense_rank().over(by_record.orderBy("start_s")))
+    return ranked.withColumn("next_trigger_s", F.min("start_s").over(by_record.orderBy("__rank").rangeBetween(1, 1))).drop("__rank")
+
+
+def next_greater(values: list[float | None]) -> list[float | None]:
+    """For each value the first later one that is greater; nulls are passed over and have none."""
+    out: list[float | None] = [None] * len(values)
+    waiting: list[int] = []  # their values never rise
+    for k, value in enumerate(values):
+        if value is None:
+            continue
+        while waiting and values[waiting[-1]] < value:
+            out[waiting.pop()] = value
+        waiting.append(k)
+    return out
+
+
+def _next_by_position(triggers: DataFrame) -> DataFrame:
+    """Adds next_trigger_s, the first start after the row's position that is greater, whatever the order of starts."""
+
+    def follow(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("position")
+        return rows.append_column("next_trigger_s", pa.array(next_greater(rows["start_s"].to_pylist()), pa.float64()))
+
+    shape = StructType([*triggers.schema.fields, StructField("next_trigger_s", DoubleType())])
+    return triggers.groupBy("record_id").applyInArrow(follow, shape)
+
+
+def next_triggers(triggers: DataFrame) -> DataFrame:
+    """Adds next_trigger_s by position. Records whose starts ascend take their ranks; the others a pass each with a
+    stack of starts that still wait, in time and memory as their rows."""
+    by_record = Window.partitionBy("record_id")
+    before = F.lag("start_s").over(by_record.orderBy("position"))
+    fits = F.col("start_s").isNotNull() & (before.isNull() | (F.col("start_s") >= before))
+    told = triggers.withColumn("__fits", fits).withColumn("__ascend", F.min("__fits").over(by_record))
+    part = lambda ascend: told.where(F.col("__ascend") == ascend).drop("__fits", "__ascend")
+    return _next_by_rank(part(True)).unionByName(_next_by_position(part(False)))
+
+
 def window_specs(triggers: DataFrame, tolerance_s: float, starts_ascend: bool = True) -> DataFrame:
     """Adds the strict and eventual windows to rows (record_id, position, start_s[, is_state, state_end_s, raw_end_s]).
 
     A point trigger's window lasts tolerance_s or up to the next distinct trigger; a state interval's to its
     annotated end. The next trigger is the first later one that starts after this one. With starts_ascend it is the
-    next rank of the starts; otherwise positions decide, and a record's later starts are looked through.
+    next rank of the starts; otherwise positions decide, see :func:`next_triggers`.
     """
-    by_record = Window.partitionBy("record_id")
-    if starts_ascend:
-        triggers = triggers.withColumn("__rank", F.dense_rank().over(by_record.orderBy("start_s")))
-        following = F.min("start_s").over(by_record.orderBy("__rank").rangeBetween(1, 1))
-    else:
-        after = F.collect_list("start_s").over(by_record.orderBy("position").rowsBetween(1, Window.unboundedFollowing))
-        following = F.get(F.filter(after, lambda s: s > F.col("start_s")), 0)
     has = set(triggers.columns)
     is_state = F.col("is_state") if "is_state" in has else F.lit(False)
     ends = [F.col(c) for c in ("state_end_s", "raw_end_s") if c in has]
     state_end = F.coalesce(*ends) if ends else F.lit(None).cast("double")
-    specs = triggers.withColumn("next_trigger_s", following).drop("__rank")
+    specs = _next_by_rank(triggers) if starts_ascend else next_triggers(triggers)
     end = F.when(is_state, state_end).otherwise(F.least(F.col("start_s") + tolerance_s, "next_trigger_s"))
     specs = specs.withColumn("end_s", F.greatest(end, F.col("start_s")))
     gap = F.col("next_trigger_s") - F.col("start_s")

@@ -13,10 +13,12 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import file_hash, stable_hash
+from tidelog.functions.hashing import stable_hash
 from tidelog.operators import validation
-from tidelog.sources.jsonl import write_sorted
+from tidelog.sources.filehash import compare, hashed_files
+from tidelog.sources.jsonl import read_events, write_sorted
 
 TABLES = ("records", "events")
 OUTSIDE = ("integrity.json", "checkpoints", "rescored.json", "rescored_records")
@@ -45,8 +47,15 @@ def write_json(path: Path, value: Any) -> None:
 
 
 def hashes_of(folder: Path, without: tuple[str, ...] = ()) -> dict[str, str]:
-    files = (p for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
-    return {str(p.relative_to(folder)): file_hash(p) for p in sorted(files) if p.relative_to(folder).parts[0] not in without}
+    """The files of a folder, a manifest of a bundle's size; executors hash them."""
+    found = hashed_files(SparkSession.builder.getOrCreate(), str(folder), without)
+    return {r.path: r.found for r in found.orderBy("path").collect()}
+
+
+def differing(folder: Path, told: dict[str, str], without: tuple[str, ...] = ()) -> list[str]:
+    """Some files that are missing, changed or not listed."""
+    states = compare(SparkSession.builder.getOrCreate(), str(folder), told, without).where("state <> 'same'")
+    return [f"{r.path} is {r.state}" for r in states.orderBy("path").limit(3).collect()]
 
 
 class RunBundle:
@@ -107,8 +116,8 @@ class RunBundle:
             folder = self.root / "checkpoints" / f"{n:06d}"
             if (folder / "commit.json").exists():
                 told = json.loads((folder / "commit.json").read_text())["files"]
-                if hashes_of(folder, ("commit.json",)) != told:
-                    raise BundleError(f"checkpoint {n} was changed")
+                if wrong := differing(folder, told, ("commit.json",)):
+                    raise BundleError(f"checkpoint {n} was changed: {wrong}")
                 return folder
         return None
 
@@ -148,12 +157,25 @@ class RunBundle:
         write_sorted(records, str(self.root / "rescored_records"))
         write_json(self.root / "rescored.json", metrics)
 
+    def _drifted(self, records: DataFrame, events: DataFrame) -> DataFrame:
+        """The records whose own events, if they have any, aren't those of the log."""
+        inner = getattr(records.schema["events"].dataType, "elementType", None) if "events" in records.columns else None
+        fields = [f for f in getattr(inner, "fieldNames", list)() if f not in ("record_id", "event_index")]
+        if not fields:
+            return records.limit(0)
+        own = records.withColumn("events", F.transform("events", lambda e: F.struct(*(e[f].alias(f) for f in fields))))
+        log = events if "event_index" in events.columns else read_events(records.sparkSession, str(self.root / "events"), events.schema)
+        log = log.select("record_id", "event_index", *(F.col(f) if f in log.columns else F.lit(None).alias(f) for f in fields))
+        return validation.event_drift(own, log).where("state = 'differs'")
+
     def validate(self, spark: SparkSession) -> dict[str, Any]:
         if not self.finalized:
             raise BundleError("the bundle isn't final")
-        told, found = json.loads((self.root / "integrity.json").read_text()), hashes_of(self.root, OUTSIDE)
-        if told != found:
-            raise BundleError(f"files differ: {sorted(set(told.items()) ^ set(found.items()))[:3]}")
+        told = json.loads((self.root / "integrity.json").read_text())
+        if wrong := differing(self.root, told, OUTSIDE):
+            raise BundleError(f"files differ: {wrong}")
         records, events = (self.table(spark, n) for n in TABLES)
         self._checked(records, events)
-        return {"records": records.count(), "events": events.count(), "files": len(found)}
+        if bad := self._drifted(records, events).limit(3).collect():
+            raise BundleError(f"embedded events disagree with the log: {[r.record_id for r in bad]}")
+        return {"records": records.count(), "events": events.count(), "files": len(told)}

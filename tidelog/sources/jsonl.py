@@ -47,11 +47,11 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select(checked.alias("row")).select(*(F.col("row")[f.name].alias(f.name) for f in kind.fields))
 
 
-def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema: str | T.StructType = EVENTS) -> DataFrame:
     """An event log with event_index, the place of each event in its record; absent fields are null."""
     from pyspark.sql import Window
 
-    rows = spark.read.schema(as_schema(schema)).json(path).withColumn("__at", F.monotonically_increasing_id())
+    rows = spark.read.schema(as_schema(schema) if isinstance(schema, str) else schema).json(path).withColumn("__at", F.monotonically_increasing_id())
     place = F.row_number().over(Window.partitionBy("record_id").orderBy("__at")) - 1
     return rows.withColumn("event_index", place).drop("__at")
 

@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import file_hash
 from tidelog.operators import validation
+from tidelog.sources.filehash import compare
 from tidelog.sources.jsonl import MONITORS, QUESTIONS, read_ids, read_strict
 
 TASKS = {"qa": ("qa_file", QUESTIONS, "tiny_qa_ids_file"), "proactive": ("proactive_file", MONITORS, "tiny_proactive_ids_file")}
@@ -71,9 +71,11 @@ class Release:
         needed = {self.manifest[k] for name, _, ids in TASKS.values() for k in (name, ids)}
         if lacking := needed - files.keys():
             raise ReleaseError(f"without a hash: {sorted(lacking)}")
-        for name, told in files.items():
-            if file_hash(self._path(name)) != told:
-                raise ReleaseError(f"{name} was changed")
+        for name in files:
+            self._path(name)
+        wrong = compare(spark, str(self.root), files).where("state in ('changed', 'missing')").orderBy("path").first()
+        if wrong is not None:
+            raise ReleaseError(f"{wrong.path} was changed" if wrong.state == "changed" else f"{wrong.path} is missing")
         counts = {task: self.records(spark, task).count() for task in TASKS}
         for task, n in counts.items():
             if self.manifest.get("counts", {}).get(task, n) != n:
