@@ -37,3 +37,56 @@ def test_monitoring_bundle(spark, tmp_path):
     assert metrics["window_source_distribution"] == {"in_window": 1}
     assert metrics["response_delay_ms"]["p50"] == 250.0
     assert metrics["miss_rate"] == 0.0
+    assert metrics["telemetry"]["visual_workload"]["core_delivered_frames"] == 1
+    assert metrics["telemetry"]["responsiveness"]["proactive_response_latency_ms"]["p50"] == 250.0
+    told = metrics["official_eligibility"]
+    assert not told["official_eligible"] and {"logical_pacing_diagnostic", "missing_or_invalid_trigger_annotations", "incomplete_telemetry:model_call_intervals"} <= set(told["reasons"])
+
+
+def test_eligible_run(spark):
+    from tidelog.plans.score import eligibility
+
+    full = {"model_call_intervals": 1.0, "submitted_frames": 1, "submitted_pixels": 1.0, "input_text_tokens": 1.0, "output_tokens": 1.0, "frame_commit": 1.0, "frame_processing": 1.0, "query_ttft": 1.0, "query_response_total": 1.0, "gpu_memory": True}
+    metrics = {"telemetry": {"telemetry_coverage": full, "gpu_memory": {"attribution_ok": True}}, "trigger_metadata": {"complete": True}}
+    native = {"pacing": "wall_clock", "capabilities": {"persistent_session": True, "autonomous": True}}
+    assert eligibility(spark, "qa", native, metrics)["official_eligible"] and eligibility(spark, "proactive", native, metrics)["official_eligible"]
+    assert eligibility(spark, "proactive", native, metrics, judge_errors=1)["reasons"] == ["judge_incomplete"]
+    poll = native | {"capabilities": {"persistent_session": True}}
+    assert eligibility(spark, "qa", poll, metrics)["official_eligible"]
+    assert eligibility(spark, "proactive", poll, metrics)["reasons"] == ["proactive_not_native_autonomous_wall_clock"]
+    short = {"telemetry": {"telemetry_coverage": full | {"frame_commit": 0.5}, "gpu_memory": {"attribution_ok": False}}}
+    assert eligibility(spark, "qa", native, short)["reasons"] == ["incomplete_telemetry:frame_commit", "incomplete_telemetry:gpu_memory_attribution"]
+
+
+def test_records_with_their_own_events_and_legacy_steps(spark):
+    """Without a log, a record's events give its answer, else its steps do; a log that is given, even empty, holds."""
+    from tidelog.plans.score import score_records
+
+    event = "struct<kind: string, logical_time_s: double, text: string, telemetry: struct<query_dispatch_perf_ns: bigint>>"
+    rows = [("a", ["A. x", "B. y"], "A", "completed", None, [("answer", 1.0, "A", (5,))], None), ("b", ["A. x", "B. y"], "B", "completed", "B", [], [(0.5, "WAIT", None)]), ("c", ["A. x", "B. y"], "B", "failed", None, None, None)]
+    records = spark.createDataFrame(rows, f"record_id string, options array<string>, answer string, status string, prediction string, events array<{event}>, model_steps array<struct<step_t: double, prediction: string, ttft_ms: double>>")
+    own, _ = score_records("qa", records)
+    assert (own["record_count"], own["score_sum"]) == (3, 2.0)
+    log = spark.createDataFrame([], "record_id string, event_index int, kind string, logical_time_s double, text string, telemetry struct<query_dispatch_perf_ns: bigint>")
+    given, _ = score_records("qa", records, log)
+    assert given["score_sum"] == 1.0
+
+
+def test_bundle_with_events_that_differ(spark, tmp_path):
+    """Embedded events are held against the log, in order."""
+    import pytest
+
+    from tidelog.sources.bundle import BundleError
+
+    event = "struct<kind: string, text: string>"
+    log = spark.createDataFrame([("a", 0, "wait", "x"), ("a", 1, "answer", "y")], "record_id string, event_index int, kind string, text string")
+    for name, own in (("good", [("wait", "x"), ("answer", "y")]), ("bad", [("answer", "y"), ("wait", "x")])):
+        records = spark.createDataFrame([("a", "completed", own)], f"record_id string, status string, events array<{event}>")
+        bundle = RunBundle(tmp_path / name)
+        bundle.prepare({"task": "qa"})
+        bundle.finalize(records, log, {}, {})
+        if name == "good":
+            assert bundle.validate(spark)["records"] == 1
+        else:
+            with pytest.raises(BundleError, match="disagree"):
+                bundle.validate(spark)
