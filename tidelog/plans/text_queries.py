@@ -61,7 +61,7 @@ SAID_SQL = (
 )
 PAIR = r"\b([A-Z])\s*(?:[/,;]|\bOR\b|\bAND\b)\s*([A-Z])\b"
 NAMED = r"\b(?:ANSWER|OPTION|CHOICE)\b\s*(?:IS|:|CHOSEN)?\s*([A-Z])\b"
-CHOICE_SQL = f"""c AS (SELECT *, nullif(regexp_extract(u, '^\\s*(?:\\[|\\()?([A-Z])(?:\\]|\\))?[.)]?\\s*$', 1), '') AS bare, nullif(regexp_extract(u, '{NAMED}', 1), '') AS named, nullif(regexp_extract(u, '^\\s*[\\[(]?([A-Z])[.)\\]]?\\s+', 1), '') AS lead,
+CHOICE_SQL = f"""c AS (SELECT *, nullif(regexp_extract(u, '^\\s*[\\[(]?([A-Z])[\\])]?[.)]?\\s*$', 1), '') AS bare, nullif(regexp_extract(u, '{NAMED}', 1), '') AS named, nullif(regexp_extract(u, '^\\s*[\\[(]?([A-Z])[.)\\]]?\\s+', 1), '') AS lead,
   list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(u, '(?:^|[^A-Za-z0-9_])([A-Z])[.):]', 1), regexp_extract_all(u, '{NAMED}', 1)), list_concat(regexp_extract_all(u, '{PAIR}', 1), regexp_extract_all(u, '{PAIR}', 2))), lambda x: list_contains(labels, x))) AS mentioned,
   regexp_matches(regexp_replace(u, '^.*?{NAMED}', '', 's'), '\\b(?:OR|AND)\\s+[A-Z]\\b') AS more FROM n),
 k AS (SELECT *, CASE WHEN list_contains(labels, bare) THEN bare END AS strict_choice, CASE WHEN len(mentioned) <= 1 THEN coalesce(CASE WHEN list_contains(labels, named) AND NOT more THEN named END, CASE WHEN list_contains(labels, bare) THEN bare END, CASE WHEN list_contains(labels, lead) THEN lead END) END AS recoverable_choice FROM c)"""
