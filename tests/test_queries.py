@@ -5,12 +5,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidelog.plans import field_queries, record_queries, stream_queries, text_queries, window_queries
+from tidelog.plans import field_queries, projection_queries, record_queries, stream_queries, text_queries, window_queries
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = window_queries.QUERIES | text_queries.QUERIES | field_queries.QUERIES | stream_queries.QUERIES | record_queries.QUERIES
-ORACLES = window_queries.ORACLES | text_queries.ORACLES | field_queries.ORACLES | stream_queries.ORACLES | record_queries.ORACLES
+QUERIES = window_queries.QUERIES | text_queries.QUERIES | field_queries.QUERIES | stream_queries.QUERIES | record_queries.QUERIES | projection_queries.QUERIES
+ORACLES = window_queries.ORACLES | text_queries.ORACLES | field_queries.ORACLES | stream_queries.ORACLES | record_queries.ORACLES | projection_queries.ORACLES
 
 
 def plain(rows, columns):

@@ -25,15 +25,25 @@ TELEMETRY_ONLY = ("provider_output_suppressed", "eligible_for_scoring", "within_
 ALIASES = {"completion_perf_ns": ("response_completion_perf_ns", "arrival_perf_ns")}
 
 
+def variant_field(value: Column, name: str, kind: str) -> Column:
+    """A field of a VARIANT if it has this type, else null: numbers aren't read from text, nor whole ones from others."""
+    told = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+    fits = {"bigint": told == "BIGINT", "double": told.isin("BIGINT", "DOUBLE") | told.startswith("DECIMAL"), "boolean": told == "BOOLEAN", "string": told == "STRING"}
+    return F.when(fits[kind], F.try_variant_get(value, f"$.{name}", kind))
+
+
 def resolve(events: DataFrame) -> DataFrame:
-    """Events with the columns of FLAT, each from the event or else from its telemetry struct; absent ones are null.
+    """Events with the columns of FLAT, each from the event or else from its telemetry; absent ones are null.
 
-    Telemetry's text_mode also replaces the default mode, complete.
+    Telemetry is a struct, or a VARIANT of any shape, whose fields count where they have their type. Its text_mode
+    also replaces the default mode, complete.
     """
+    loose = "telemetry" in events.columns and events.schema["telemetry"].dataType.simpleString() == "variant"
     inner = {f.name for f in events.schema["telemetry"].dataType.fields} if "telemetry" in events.columns and hasattr(events.schema["telemetry"].dataType, "fields") else set()
     out = {}
     for name, kind in FLAT.items():
-        told = [F.col(f"telemetry.{n}").cast(kind) for n in ALIASES.get(name, (name,)) if n in inner]
+        names = ALIASES.get(name, (name,))
+        told = [variant_field(F.col("telemetry"), n, kind) for n in names] if loose else [F.col(f"telemetry.{n}").cast(kind) for n in names if n in inner]
         own = [F.col(name).cast(kind)] if name in events.columns and name not in TELEMETRY_ONLY else []
         if name == "text_mode" and own and told:
             out[name] = F.when(own[0].isNull() | (own[0] == "complete"), F.coalesce(told[0], own[0])).otherwise(own[0])
