@@ -215,3 +215,31 @@ def test_whitening_leaves_out_flat_directions(spark):
 
 def test_queries_are_registered():
     assert {"op11_whitening", "op12_fill_middle", "op13_line_dedup"} <= queries.QUERIES.keys()
+
+
+# --- 1: pages that lost or kept the wrong text, and pages that took the square of their length
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><!--><p>One, two.</p></article>", "One, two."),
+        ("<article><!---><p>One, two.</p><!-- <p>no, no.</p> --></article>", "One, two."),
+        ("<article><p>Kept, as text.</p><p style='color:red; Display : none'>hidden, secret.</p></article>", "Kept, as text."),
+    ],
+)
+def test_comments_and_hidden_text(page, text):
+    from tidelog.llm.html_extract import main_text
+
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div class=sidebar>" * 100_000 + "x. y", "<div>" * 20_000 + "</section>" * 100_000 + "text, here.", "<header>" * 100_000 + "t.", "<nav>" * 100_000 + "t.", "<article>" + "<div>" * 20_000 + "</p>" * 100_000 + "t."])
+def test_pages_take_time_in_proportion(page):
+    import time
+
+    from tidelog.llm.html_extract import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10

@@ -60,7 +60,8 @@ MARKS = {
 }
 JOINED = ("sidebar", "advert", "cookie", "newsletter", "comment-", "-comment", "breadcrumb", "navbar", "promo-", "sponsor")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+# <!--> and <!---> are comments without text.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?¿¡。，；：！？、…]")
@@ -69,10 +70,15 @@ PUNCTUATION = re.compile(r"[.,;:!?¿¡。，；：！？、…]")
 class Element:
     """An open element. path numbers its root-to-leaf tag path; held is the nearest embedded element around it or it."""
 
-    __slots__ = ("away", "held", "inside", "label", "named", "parent", "path", "resume", "tag", "text")
+    __slots__ = ("articles", "away", "gone", "held", "inside", "label", "named", "parent", "path", "resume", "tag", "text", "within")
 
     def __init__(self, tag: str, label: str, parent: Element | None, away: bool, path: int, named: bool = False):
         self.tag, self.label, self.parent, self.away, self.path, self.text, self.inside = tag, label, parent, away, path, 0, False
+        #: Whether it is an article or main element or in one; the text of such elements in it, counted later.
+        self.within: bool = tag in ("article", "main") or parent is not None and parent.within
+        self.articles = 0
+        #: Whether an embedded element around it, or it, was closed; known at the end of the page.
+        self.gone = False
         #: The nearest element from it upwards that is named like boilerplate.
         self.named: Element | None = self if named else parent and parent.named
         self.held: Element | None = self if tag in EMBEDDED else parent and parent.held
@@ -96,15 +102,11 @@ def _is_away(tag: str, attributes: dict[str, str], parent: Element | None) -> bo
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    if tag == "header":
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if tag == "header" and (parent is None or not parent.within):
+        return True
     if tag in ("html", "body", "main"):
         return False
-    return bool(attributes.get("class", "").strip() or attributes.get("id", "").strip()) and "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
 def _is_named(tag: str, attributes: dict[str, str]) -> bool:
@@ -121,10 +123,14 @@ def _is_named(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
-    """The page's text blocks and elements in order; an element's path is that of its block-level ancestors."""
+    """The page's text blocks and elements in order; an element's path is that of its block-level ancestors.
+
+    The places of open elements are kept by tag, so an end tag finds its element, or that there is none, at once.
+    """
     root = Element("", "", None, False, 0)
     elements, paths = [root], {}
     stack: list[Element] = [root]
+    places: dict[str, list[int]] = {}
     blocks: list[Block] = []
     current: Block | None = None
     links = 0
@@ -134,6 +140,14 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
         up = stack[-1]
         stack.append(Element(tag, label, up, away, paths.setdefault((up.path, label), len(paths) + 1), named))
         elements.append(stack[-1])
+        places.setdefault(tag, []).append(len(stack) - 1)
+
+    def shut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def add(text: str) -> None:
         nonlocal current
@@ -185,14 +199,11 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
                     opened(tag, tag, False)
                     stack[-1].resume, current, links = (current, links), None, 0
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    stack[k].away = True
-                    current, links = stack[k].resume
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("body", "html", "article", "main"):
-                    break
+            k = last(tag)
+            if k and k > last("body", "html", "article", "main"):
+                stack[k].away = True
+                current, links = stack[k].resume
+                shut(k)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -201,38 +212,33 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             continue
         current = None
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("table", "body", "html", "article", "main") and tag in ("p", "li", "b"):
-                    break
+            k = last(tag)
+            if k and (tag not in ("p", "li", "b") or k > last("table", "body", "html", "article", "main")):
+                shut(k)
             links = 0
             continue
         if stack[-1].tag == "p":
-            stack.pop()
+            shut(len(stack) - 1)
         same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "tbody")}.get(tag, ())
         while stack[-1].tag in same:
-            stack.pop()
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+            shut(len(stack) - 1)
+        if tag in ("html", "body") and places.get(tag):
             continue
-        if tag == "body" and any(e.tag == "head" for e in stack):
-            del stack[next(k for k, e in enumerate(stack) if e.tag == "head") :]
+        if tag == "body" and places.get("head"):
+            shut(places["head"][0])
         attributes = _attributes(found[3])
         kind = (attributes.get("class", "").split() or [""])[0]
         opened(tag, f"{tag}.{kind}" if kind else tag, tag == "head" or stack[-1].away or _is_away(tag, attributes, stack[-1]), _is_named(tag, attributes))
         links = 0
+    for element in elements:  # those around an element come before it
+        held = element.held
+        element.gone = held is not None and (held.away or held.parent.gone)
     return blocks, elements
 
 
 def _is_dropped(element: Element) -> bool:
     """Whether an element is boilerplate, an embedded one or inside of such; an unclosed one has only its own text."""
-    if element.tag in EMBEDDED or element.away:
-        return True
-    around = element.held
-    while around is not None and not around.away:
-        around = around.parent.held
-    return around is not None
+    return element.tag in EMBEDDED or element.away or element.gone
 
 
 def path_scores(rows: list[tuple[int, int, int, bool]]) -> dict[int, float]:
@@ -265,25 +271,19 @@ def _clear_names(elements: list[Element], rows: list[tuple]) -> None:
     for _, element, text, _ in rows:
         element.text += len(text)
     for element in reversed(elements[1:]):
+        element.articles += element.text if element.tag in ("article", "main") else 0
         element.parent.text += element.text
-    total = elements[0].text
-    whole = sum(e.text for e in elements if e.tag in ("article", "main") and e.text)
+        element.parent.articles += element.articles
+    total, whole = elements[0].text, elements[0].articles
     for element in elements[1:]:
         own = element.named is element
         if own and element.text >= MOST * total:
-            inner = sum(e.text for e in elements if e.tag in ("article", "main") and e.text and _within(e, element))
-            own = inner < whole
+            own = element.articles < whole
         element.named = element if own else element.parent.named
     for element in elements:
         element.text = 0
 
 
-def _within(element: Element | None, outer: Element) -> bool:
-    while element is not None and element is not outer:
-        element = element.parent
-    return element is not None
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
