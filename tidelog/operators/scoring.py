@@ -33,25 +33,29 @@ def judge(rows: DataFrame, mode: str = "exact", semantic: tuple[str, ...] = SEMA
     all but the first in the order of `call`. A model judge maps distinct rows to the same rows with reply (its raw
     text, null if unavailable). Mode auto sends the semantic task types to it, vlm all, exact none.
     """
-    key = F.sha2(F.to_json(F.array(F.upper(F.trim(F.coalesce("task_type", F.lit("")))), tx.normalize(F.col("question")), tx.normalize(F.col("expected")), tx.normalize(F.col("prediction")))), 256)
-    keyed = rows.withColumn("memo", key)
-    wants = F.lit(True) if mode == "vlm" else F.upper(F.trim(F.coalesce("task_type", F.lit("")))).isin(*semantic) if mode == "auto" and semantic else F.lit(False)
-    first = F.min_by(F.struct("task_type", "question", "expected", "prediction"), "call")
-    distinct = keyed.groupBy("memo").agg(F.min("call").alias("first_call"), first.alias("q")).select("memo", "first_call", "q.*").withColumn("wants", wants)
-    exact = F.when(tx.exact_match(F.col("prediction"), F.col("expected")), 1.0).otherwise(0.0)
+    kind = F.upper(F.trim(F.coalesce("task_type", F.lit(""))))
+    wants = F.lit(True) if mode == "vlm" else kind.isin(*semantic) if mode == "auto" and semantic else F.lit(False)
+    made = ["normal_question", "normal_expected", "normal_prediction"]
+    keyed = rows.withColumns({m: tx.normalize(F.col(m.removeprefix("normal_"))) for m in made})
+    exact = F.when((F.col("normal_prediction") != "") & (F.col("normal_prediction") == F.col("normal_expected")), 1.0).otherwise(0.0)
+    empty = F.col("normal_prediction") == ""
+    keyed = keyed.withColumns({"memo": F.sha2(F.to_json(F.array(kind, *made)), 256), "exact": exact, "empty": empty, "wants": wants}).drop(*made)
+    keyed = keyed.withColumn("first_call", F.min("call").over(Window.partitionBy("memo")))
+    told = ["score", "score_method", "judge_error"]
     if model is None:
         missing = F.col("wants") & F.lit(mode in ("auto", "vlm"))
         method = F.when(~missing, "exact_match").otherwise("exact_fallback_no_vlm" if mode == "auto" else "vlm_unavailable")
-        score = F.when(missing & F.lit(mode == "vlm"), 0.0).otherwise(exact)
-        judged = distinct.select("memo", "first_call", score.alias("score"), method.alias("score_method"), F.when(missing, "judge endpoint is not configured").alias("judge_error"))
+        score = F.when(missing & F.lit(mode == "vlm"), 0.0).otherwise(F.col("exact"))
+        judged = keyed.withColumns({"score": score, "score_method": method, "judge_error": F.when(missing, "judge endpoint is not configured")})
     else:
-        plain = distinct.where(~F.col("wants")).select("memo", "first_call", exact.alias("score"), F.lit("exact_match").alias("score_method"), F.lit(None).cast("string").alias("judge_error"))
-        replied = model(distinct.where("wants"))
-        empty, value = tx.normalize(F.col("prediction")) == "", tx.unit_score(F.col("reply"))
-        method = F.when(empty, "vlm_empty_prediction").when(F.col("reply").isNull(), "vlm_unavailable").when(value.isNull(), "vlm_invalid_response").otherwise("vlm")
-        error = F.when(~empty & F.col("reply").isNull(), "judge is unavailable").when(~empty & value.isNull(), "judge gave no score")
-        judged = plain.unionByName(replied.select("memo", "first_call", F.when(empty, 0.0).otherwise(F.coalesce(value, F.lit(0.0))).alias("score"), method.alias("score_method"), error.alias("judge_error")))
-    return keyed.join(judged, "memo").withColumn("cached", F.col("call") > F.col("first_call")).drop("memo", "first_call")
+        distinct = keyed.where("wants and call = first_call").select("memo", "first_call", "task_type", "question", "expected", "prediction", "wants", "empty").dropDuplicates(["memo"])
+        replied, value = model(distinct), tx.unit_score(F.col("reply"))
+        method = F.when(F.col("empty"), "vlm_empty_prediction").when(F.col("reply").isNull(), "vlm_unavailable").when(value.isNull(), "vlm_invalid_response").otherwise("vlm")
+        error = F.when(~F.col("empty") & F.col("reply").isNull(), "judge is unavailable").when(~F.col("empty") & value.isNull(), "judge gave no score")
+        answers = replied.select("memo", F.when(F.col("empty"), 0.0).otherwise(F.coalesce(value, F.lit(0.0))).alias("score"), method.alias("score_method"), error.alias("judge_error"))
+        plain = keyed.where("not wants").withColumns({"score": F.col("exact"), "score_method": F.lit("exact_match"), "judge_error": F.lit(None).cast("string")})
+        judged = plain.unionByName(keyed.where("wants").join(answers, "memo"))
+    return judged.withColumn("cached", F.col("call") > F.col("first_call")).select(*rows.columns, *told, "cached")
 
 
 def query_predictions(episodes: DataFrame) -> DataFrame:
