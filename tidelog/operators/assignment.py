@@ -38,13 +38,13 @@ def _rows(windows: DataFrame, episodes: DataFrame, boundary: str) -> DataFrame:
 
 def _plain(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
     """(record_id, position, inside, before) of plain records."""
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("record_id").orderBy("t", "kind", "number")))
-    in_time = Window.partitionBy("record_id").orderBy("place")
+    order = ("t", "kind", "number")
+    in_time = Window.partitionBy("record_id").orderBy(*order)
     so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("held", F.last("held", ignorenulls=True).over(so_far))
     within = (F.col("kind") == 0) | F.coalesce(_inside(F.col("t"), F.col("held.end_s"), boundary), F.lit(False))
     rows = rows.withColumn("at", F.when(within, F.col("held")))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("record_id", "at", "kind").orderBy("place")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("record_id", "at", "kind").orderBy("t", "number")))
     pair = Window.partitionBy("record_id", "at", "rank")
     rows = rows.withColumns({"inside": F.when(F.col("at").isNotNull(), F.max(F.when(F.col("kind") == 1, F.col("number"))).over(pair)), "asked": F.col("at").isNotNull() & (F.min("kind").over(pair) == 0)})
     found = ["record_id", F.col("number").alias("position"), "inside"]
@@ -56,7 +56,7 @@ def _plain(rows: DataFrame, boundary: str, fallback: bool) -> DataFrame:
     alone = (F.col("step") < 0) & (F.col("sum") < F.coalesce(F.lag("least").over(in_time), F.lit(0)))
     depth = F.col("sum") - F.col("least") + F.when(F.col("step") < 0, 1).otherwise(0)
     rows = rows.withColumn("level", F.when((F.col("step") != 0) & ~alone, depth))
-    opened = F.lag("number").over(Window.partitionBy("record_id", "level").orderBy("place"))
+    opened = F.lag("number").over(Window.partitionBy("record_id", "level").orderBy(*order))
     rows = rows.withColumn("before", F.when((F.col("step") < 0) & F.col("level").isNotNull(), opened))
     return rows.where("kind = 0").select(*found, "before")
 

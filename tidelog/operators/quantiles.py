@@ -13,7 +13,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.sources.folders import stored
 
 #: The sketch's ranks are off by a 10,000th at most; bounds are taken twice as far on either side.
 ACCURACY = 10_000
@@ -21,15 +20,18 @@ MARGIN = 2 / ACCURACY
 BUCKETS = 4096
 
 
-def _value_at(rows: DataFrame, ranks: list[int], low: float, high: float, below: int) -> list[float]:
-    """The values of ranks (from 0) that lie between low and high; below is the number of rows under low."""
+def _value_at(rows: DataFrame, ranks: list[int], low: float, high: float, below: int, upto: int) -> list[float]:
+    """The values of ranks (from 0) that lie between low and high; below and upto are the rows under low and to high."""
     inside = rows.where(F.col("v").between(low, high))
     if low == high:
         return [low] * len(ranks)
-    # Halves keep the width finite for values of any size.
-    bucket = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS), F.lit(BUCKETS - 1))
-    dealt = inside.withColumn("bucket", bucket)
-    counts = sorted((r["bucket"], r["count"]) for r in dealt.groupBy("bucket").count().collect())
+    if upto - below <= BUCKETS:
+        dealt, counts = inside.withColumn("bucket", F.lit(0)), [(0, upto - below)]
+    else:
+        # Halves keep the width finite for values of any size.
+        bucket = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS), F.lit(BUCKETS - 1))
+        dealt = inside.withColumn("bucket", bucket)
+        counts = sorted((r["bucket"], r["count"]) for r in dealt.groupBy("bucket").count().collect())
     wanted, start = {}, below
     for k, n in counts:
         if any(start <= r < start + n for r in ranks):
@@ -46,17 +48,18 @@ def _value_at(rows: DataFrame, ranks: list[int], low: float, high: float, below:
 
 def exact_percentiles(values: DataFrame, column: str, quantiles: list[float]) -> list[float | None]:
     """The percentiles of the column's values that aren't null, interpolated between ranks (n - 1) q; none without
-    values. NaN counts as the largest value."""
-    rows = stored(values.select(F.col(column).cast("double").alias("v")).where("v is not null"))
+    values. NaN counts as the largest value. The values are read several times."""
+    rows = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
     odd = F.isnan("v")
-    total, least, most, nans = rows.agg(F.count("*"), F.min(F.when(~odd, F.col("v"))), F.max(F.when(~odd, F.col("v"))), F.count_if(odd)).first()
+    real = F.when(~odd, F.col("v"))
+    near = [min(1.0, max(0.0, q + d)) for q in quantiles for d in (-MARGIN, MARGIN)]
+    total, least, most, nans, sketch = rows.agg(F.count("*"), F.min(real), F.max(real), F.count_if(odd), F.percentile_approx(real, near, ACCURACY)).first()
     if not total:
         return [None] * len(quantiles)
     n = total - nans
     rows = rows.where(~odd)
     ranks = [sorted({math.floor((total - 1) * q), math.ceil((total - 1) * q)}) for q in quantiles]
-    near = [min(1.0, max(0.0, r / max(1, n - 1) + d)) for rs in ranks for r, d in ((rs[0], -MARGIN), (rs[-1], MARGIN))]
-    sketch = rows.agg(F.percentile_approx("v", near, ACCURACY)).first()[0] or [math.nan] * len(near)
+    sketch = sketch or [math.nan] * len(near)
     bounds = [(least if near[2 * k] <= MARGIN else sketch[2 * k], most if near[2 * k + 1] >= 1 - MARGIN else sketch[2 * k + 1]) for k in range(len(quantiles))]
     counted = [c for low, high in bounds for c in (F.count_if(F.col("v") < F.lit(low)), F.count_if(F.col("v") <= F.lit(high)))]
     around = rows.agg(*counted).first()
@@ -65,8 +68,8 @@ def exact_percentiles(values: DataFrame, column: str, quantiles: list[float]) ->
         real = [r for r in rs if r < n]
         (low, high), below, upto = bounds[k], around[2 * k], around[2 * k + 1]
         if real and not (below <= real[0] and real[-1] < upto):
-            low, high, below = least, most, 0
-        found = (_value_at(rows, real, low, high, below) if real else []) + [math.nan] * (len(rs) - len(real))
+            low, high, below, upto = least, most, 0, n
+        found = (_value_at(rows, real, low, high, below, upto) if real else []) + [math.nan] * (len(rs) - len(real))
         share = (total - 1) * q - rs[0]
         out.append(found[0] if len(found) == 1 else found[0] * (1 - share) + found[1] * share)
     return out

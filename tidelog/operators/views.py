@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.quantiles import exact_percentiles
 from tidelog.operators.sweep import covering, points_inside, positive
+from tidelog.sources.folders import stored
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -94,6 +95,7 @@ def distribution(values: DataFrame, column: str, population: Column | None = Non
     The percentiles are found at once, by jobs of their own that bring no more than a bucket of values to one task.
     """
     whole = F.count("*") if population is None else population
+    values = stored(values.select(column) if population is None else values)
     p50, p95 = exact_percentiles(values, column, [0.5, 0.95])
     return values.agg(
         whole.alias("population_count"),
