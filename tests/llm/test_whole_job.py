@@ -1,6 +1,7 @@
 """Cases that need the whole job of an operator, among them those that a review found to be cut short."""
 
 import random
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -64,6 +65,24 @@ def test_rare_words_are_contexts(spark):
     assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
 
 
+def test_questions_and_seatings_are_gone_before_the_runs_are_shuffled_again(spark, monkeypatch):
+    stored, owners = [], []
+    keep, ask = language_model.materialize, language_model.ask_counts
+
+    def noted(df, *options):
+        stored.append(keep(df, *options))
+        return stored[-1]
+
+    monkeypatch.setattr(language_model, "materialize", noted)
+    monkeypatch.setattr(language_model, "ask_counts", lambda runs, n: owners.append(n) or ask(runs, n))
+    scored = language_model.score(spark.createDataFrame([(i, f"a b c {i % 3}", "en", "s", 0) for i in range(40)], DOCS))
+    on_disk = lambda df: any(Path(f.removeprefix("file:")).exists() for f in df.inputFiles())
+    assert [t.columns for t in stored if on_disk(t)] == [t.columns for t in stored if {"tokens", "places", "pairs"} & set(t.columns) and not {"keys", "per"} & set(t.columns)]
+    assert scored.count() == 40
+    # A small input has few owners, however many the shuffle partitions: their lists to each other are their square.
+    assert owners == [1] and language_model.owners_of(10_000_000, 211) == 20 and language_model.owners_of(400_000_000, 12) == 100
+
+
 def all_ways(customers, opening, discount):
     """Mean and variance of the number of tables, by the recursion over customers."""
     p = np.zeros(customers + 2)

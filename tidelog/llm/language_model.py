@@ -40,13 +40,14 @@ from tidelog.llm.common import discard, materialize, shuffle_partitions
 from tidelog.llm.seating import draw_tables
 
 RUN_TOKENS = 2_000_000
-#: Tokens whose pairs an owner has on average at most, whatever the number of shuffle partitions.
-OWNER_TOKENS = 4_000_000
+#: Tokens whose pairs an owner has on average at most, and at least where there are more shuffle partitions than that;
+#: between the two, each partition has an owner.
+OWNER_TOKENS, LEAST_TOKENS = 4_000_000, 500_000
 BURN, SAMPLES, PASSES = 2, 3, 2
 STRENGTH = 1.0
 END = np.uint64(0x0123456789ABCDEF)
 
-RUNS = "run string, docs binary, doc_null binary, held binary, sizes binary, vocabulary binary, tokens binary, counts binary"
+RUNS = "run string, size bigint, docs binary, doc_null binary, held binary, sizes binary, vocabulary binary, tokens binary, counts binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -87,7 +88,7 @@ def store_runs(docs: DataFrame) -> DataFrame:
         out = np.concatenate(held)
         counts = np.bincount(tokens[~np.repeat(out, size)], minlength=len(vocabulary))
         values = (np.concatenate(ids), np.concatenate(nulls), out, size.astype(np.int64), vocabulary, tokens.astype(np.int32), counts.astype(np.int64))
-        return _batch([dict(zip(schema.names, (name, *map(pack, values)), strict=True))], schema)
+        return _batch([dict(zip(schema.names, (name, len(tokens), *map(pack, values)), strict=True))], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -387,7 +388,7 @@ def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFram
             pair_mean /= len(totals.value)
             for a in asked.to_pylist():
                 _, wanted = _asked_keys(a, int(starts.value[-1]))
-                out.append({"run": a["run"], "owner": a["owner"], "pairs": pair_mean[np.searchsorted(keys, wanted)].astype(np.float32).tobytes()})
+                out.append({"run": a["run"], "owner": a["owner"], "pairs": pack(pair_mean[np.searchsorted(keys, wanted)].astype(np.float32))})
         return pa.Table.from_pylist(out, schema=schema)
 
     kept = states.select("owner", "places", "keys", "counts", "context", "samples")
@@ -409,7 +410,7 @@ def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, n: int, v:
                 starts = np.cumsum(sizes) - sizes
                 counts = _joined(r["answers"], "counts", "i8")
                 by_owner = sorted(r["predicted"], key=lambda a: a["owner"])
-                pairs = np.log10(np.concatenate([np.frombuffer(a["pairs"], "f4") for a in by_owner]).astype(np.float64))
+                pairs = np.log10(np.concatenate([unpack(a["pairs"], "f4") for a in by_owner]).astype(np.float64))
                 logs = pairs[np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)[1]]
                 base = np.log10((counts + 1) / (n + 1 * (v + 1)))
                 total = lambda x: np.add.reduceat(x, starts)
@@ -425,12 +426,17 @@ def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, n: int, v:
     return both.select("run", "docs", "doc_null", "held", "sizes", "vocabulary", "tokens", "answers", "predicted").mapInArrow(run, SCORED)
 
 
+def owners_of(tokens: int, partitions: int) -> int:
+    """How many owners there are. What they ask each other grows with their square, so small inputs have few."""
+    return max(1, -(-tokens // OWNER_TOKENS), min(partitions, -(-tokens // LEAST_TOKENS)))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     runs = materialize(store_runs(docs))
-    owners = max(shuffle_partitions(spark), -(-runs.count() * RUN_TOKENS // OWNER_TOKENS))
+    owners = owners_of(runs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shuffle_partitions(spark))
     answers = materialize(answer_counts(ask_counts(runs, owners)))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     starts = share(numbering(answers, owners))
@@ -443,4 +449,7 @@ def score(docs: DataFrame) -> DataFrame:
         totals = Totals(states, v)
         if k >= BURN:
             kept.append(totals)
-    return add_up(runs, answers, answer_pairs(asks, states, share(kept), starts), n, v)
+    # The runs' tokens are shuffled once more to be scored; questions and seatings needn't be on disk beside them.
+    predicted = materialize(answer_pairs(asks, states, share(kept), starts))
+    discard(asks, states)
+    return add_up(runs, answers, predicted, n, v)
