@@ -5,10 +5,11 @@ from pathlib import Path
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import html_extract, language_model, packing
+from tidelog.llm import common, html_extract, language_model, packing
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -151,3 +152,21 @@ def test_a_small_source_gets_its_target(spark):
     pieces = packing.pack(spark.createDataFrame(rows, DOCS), path, targets={"small": 1.0, "big": 1.0}, length=64).collect()
     first = served_by_source(pieces, {r[0]: r[3] for r in rows}, range(1))
     assert first["small"] == first["big"] == 32
+
+
+# --- pipeline
+
+
+def test_stored_tables_are_made_from_small_batches(spark):
+    """Batches of whole texts stand in the memory of an executor and of its workers at once."""
+
+    @common.frugal
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    found = [r["n"] for r in common.materialize(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n bigint")).collect()]
+    assert sum(found) == 5000 and max(found) <= common.BATCH_ROWS
+    assert spark.conf.get(name) == before

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.sources.folders import shared_dir
@@ -13,6 +16,9 @@ from tidelog.sources.folders import shared_dir
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: The same six characters, as text.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch between Spark and Python in jobs that store a table: whole texts take several MB then, not tens.
+BATCH_ROWS = 1_500
+_BATCH_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +32,31 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    rows = spark.conf.get(_BATCH_ROWS_CONF)
+    if not 0 < int(rows) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS_CONF, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS_CONF, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back to the system when its task ends.
+
+    Python workers live on from stage to stage and take turns; what each of them once held would add up in an executor.
+    """
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return held
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`materialize` that nothing will read again, and lets go of what went into them.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import golomb, prefilter
-from tidelog.llm.common import SPACES, materialize, shuffle_partitions
+from tidelog.llm.common import SPACES, frugal, materialize, shuffle_partitions
 
 #: Rows of a task that are coded together; bounds a task's memory.
 RUN_ROWS = 1_000_000
@@ -64,6 +64,7 @@ def coded_lists(prints: DataFrame, owners: int) -> DataFrame:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "owner", "count", "rice", "codes", "repeated"])
 
+    @frugal
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -98,6 +99,7 @@ def suspects(lists: DataFrame, owners: int) -> DataFrame:
     """Step 3: (print) of the rows whose fingerprint may occur twice."""
     width = (1 << 64) // owners + 1
 
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit
+from tidelog.llm.common import frugal
 
 GRAMS = (3, 4)
 BUCKETS, DIM = 1 << 15, 16
@@ -211,6 +212,7 @@ def filter_accepted(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     at = docs.columns.index("text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _scoring_table(shared.value)
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import prefilter, textkit
-from tidelog.llm.common import discard, materialize
+from tidelog.llm.common import discard, frugal, materialize
 from tidelog.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -60,6 +60,7 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, width: int, hashes: int = BANDS * ROWS) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set and the signature (16 bits a place) of every row."""
 
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _multipliers(hashes)
         for batch in batches:
@@ -123,6 +124,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float =
     """The pairs (a, b) that sequential comparison of their signatures doesn't rule out."""
     steps = least_matches(hashes, threshold, miss)
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -144,6 +146,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     wanted = prefilter.cells(ends, F.xxhash64("end"))
     texts = prefilter.marked(docs.select("doc_id", "text").where("doc_id is not null"), wanted, F.xxhash64("doc_id")).where("__hit").select("doc_id", "text")
 
+    @frugal
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.add(*(np.diff(textkit.text_bytes(batch.column(k))[1]) for k in (2, 3)))

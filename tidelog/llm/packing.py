@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit
-from tidelog.llm.common import materialize
+from tidelog.llm.common import frugal, materialize
 
 LENGTH = 2048
 #: The least share of the tokens with which a source has a queue of its own; a queue gets 2 tokens a sequence or more.
@@ -169,6 +169,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(shared.value)
         for batch in batches:
@@ -307,6 +308,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, targets: dict[str, float]
     ready = placed.join(before, ["queue", "bucket"]).select("doc_id", "queue", (F.col("before") + running).alias("at"), "n", "ids")
     shared = docs.sparkSession.sparkContext.broadcast(schedule)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for batch in batches:
