@@ -1,15 +1,18 @@
 """Cases that need the whole job of an operator, among them those that a review found to be cut short."""
 
 import random
+import time
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import common, html_extract, language_model, packing
+from tidelog.sources.folders import shared_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -84,6 +87,41 @@ def test_questions_and_seatings_are_gone_before_the_runs_are_shuffled_again(spar
     assert owners == [1] and language_model.owners_of(10_000_000, 211) == 20 and language_model.owners_of(400_000_000, 12) == 100
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(k).getName() for k in range(files.size()))
+    return {name.split("_")[1] for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_words_questions_and_old_shuffles_are_gone_when_they_were_used(spark, monkeypatch):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    old, round_of = set(folder.rglob("*.parquet")), language_model.gibbs_round
+    tables = lambda: (pq.ParquetFile(f).read() for f in set(folder.rglob("*.parquet")) - old)
+    columns = lambda: {c for t in tables() for c in t.column_names if t[c].null_count < len(t)}
+    at_rounds, dealt = [], set()
+
+    def noted(states, *options):
+        at_rounds.append(columns())
+        dealt.update(shuffle_files(spark))
+        return round_of(states, *options)
+
+    monkeypatch.setattr(language_model, "gibbs_round", noted)
+    rows = [(i, f"a b c {i % 3} {i}", "en", "s", 0) for i in range(40)] + [(40, None, "en", "s", 0), (41, "", "en", "s", 0)]
+    before = shuffle_files(spark)
+    scored = language_model.score(spark.createDataFrame(rows, DOCS))
+    # Words go with their answers, and questions when the owners have noted the places of the pairs.
+    assert len(at_rounds) == language_model.BURN + language_model.SAMPLES
+    assert all({"tokens", "found", "keys"} <= names and not {"vocabulary", "per"} & names for names in at_rounds)
+    assert {"tokens", "pairs"} <= columns() and not {"vocabulary", "per", "found", "keys"} & columns()
+    # Spark removes files in the background; what the answers to the pairs were shuffled by is gone before scoring.
+    end = time.monotonic() + 5
+    while len(shuffle_files(spark) - before) > 1 and time.monotonic() < end:
+        time.sleep(0.1)
+    assert dealt - before and len(shuffle_files(spark) - before) <= 1  # that of the count
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert len(got) == 42 and got[40]["n_tokens"] == got[41]["n_tokens"] == 1 and got[0]["n_tokens"] == 6
+
+
 def all_ways(customers, opening, discount):
     """Mean and variance of the number of tables, by the recursion over customers."""
     p = np.zeros(customers + 2)

@@ -12,11 +12,13 @@ send it the sums of their own pairs and get back the sums of all, for the contex
 :func:`context_sums`). So no task and no broadcast holds all contexts.
 
 1. Each task numbers the words of its run of documents (at most RUN_TOKENS tokens, or one document) and stores the
-   run's tokens. It sends each word's training count to the word's owner (owners have ranges of hashes), once a run,
-   however often the word occurs; the owner adds up and answers. A word's number is its place in the order of all.
+   run's tokens, and apart from them its words. It sends each word's training count to the word's owner (owners have
+   ranges of hashes), once a run, however often the word occurs; the owner adds up and answers. A word's number is its
+   place in the order of all. The words themselves aren't needed any more then.
 2. The run sends its distinct (context, word) pairs with counts to the word's owner. A pair or word that makes up a
    third of the corpus is one number a run.
-3. Owners hold the seatings of their words in all contexts and in the parent. In a round each owner makes PASSES
+3. Owners note where each run's pairs are among their own, which takes the place of the question. They
+   hold the seatings of their words in all contexts and in the parent. In a round each owner makes PASSES
    Gibbs passes, with the other owners' totals as they were after the last round.
 4. Owners answer each run with the probabilities of its pairs, and the run adds them up by document.
 
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit
-from tidelog.llm.common import discard, materialize, shuffle_partitions
+from tidelog.llm.common import discard, materialize, materialize_kinds, shuffle_partitions
 from tidelog.llm.seating import draw_tables
 
 RUN_TOKENS = 2_000_000
@@ -47,7 +49,9 @@ BURN, SAMPLES, PASSES = 2, 3, 2
 STRENGTH = 1.0
 END = np.uint64(0x0123456789ABCDEF)
 
-RUNS = "run string, size bigint, docs binary, doc_null binary, held binary, sizes binary, vocabulary binary, tokens binary, counts binary"
+#: A run is a row of each kind. ending: the place of the end token in its vocabulary.
+RUN_KINDS = {"tokens": ["run", "size", "docs", "doc_null", "held", "sizes", "tokens", "ending"], "words": ["run", "vocabulary", "counts"]}
+RUNS = "kind string, run string, size bigint, docs binary, doc_null binary, held binary, sizes binary, tokens binary, ending bigint, vocabulary binary, counts binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -75,7 +79,7 @@ def _schema(text: str) -> pa.Schema:
 
 
 def store_runs(docs: DataFrame) -> DataFrame:
-    """Step 1: documents as runs of numbered tokens."""
+    """Step 1: documents as runs of numbered tokens (kind tokens), and the runs' words and training counts (kind words)."""
     schema = _schema(RUNS)
 
     def number(name: str, ids: list, nulls: list, held: list, words: list, sizes: list) -> pa.RecordBatch:
@@ -87,8 +91,11 @@ def store_runs(docs: DataFrame) -> DataFrame:
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
         out = np.concatenate(held)
         counts = np.bincount(tokens[~np.repeat(out, size)], minlength=len(vocabulary))
-        values = (np.concatenate(ids), np.concatenate(nulls), out, size.astype(np.int64), vocabulary, tokens.astype(np.int32), counts.astype(np.int64))
-        return _batch([dict(zip(schema.names, (name, len(tokens), *map(pack, values)), strict=True))], schema)
+        row = {
+            "kind": "tokens", "run": name, "size": len(tokens), "docs": pack(np.concatenate(ids)), "doc_null": pack(np.concatenate(nulls)), "held": pack(out),
+            "sizes": pack(size.astype(np.int64)), "tokens": pack(tokens.astype(np.int32)), "ending": int(np.searchsorted(vocabulary, END)),
+        }
+        return _batch([row, {"kind": "words", "run": name, "vocabulary": pack(vocabulary), "counts": pack(counts.astype(np.int64))}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,7 +125,7 @@ def _edges(vocabulary: np.ndarray, owners: int) -> list[int]:
     return [*np.searchsorted(vocabulary, np.array([k * width for k in range(owners)], dtype=np.uint64)).tolist(), len(vocabulary)]
 
 
-def ask_counts(runs: DataFrame, owners: int) -> DataFrame:
+def ask_counts(vocabularies: DataFrame, owners: int) -> DataFrame:
     """(owner, run, words, counts): each run's words and training counts, dealt to their owners."""
     spec = "owner int,run string,words binary,counts binary"
     schema = _schema(spec)
@@ -130,12 +137,12 @@ def ask_counts(runs: DataFrame, owners: int) -> DataFrame:
                 edges = _edges(words, owners)
                 yield _batch([{"owner": k, "run": r["run"], "words": pack(words[a:b]), "counts": pack(counts[a:b])} for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b], schema)
 
-    return runs.select("run", "vocabulary", "counts").mapInArrow(run, spec)
+    return vocabularies.select("run", "vocabulary", "counts").mapInArrow(run, spec)
 
 
 def answer_counts(asked: DataFrame) -> DataFrame:
-    """Rows with run null: an owner's words, counts and sums. Other rows: where a run's words are among them."""
-    spec = "owner int,run string,words binary,counts binary,places binary,n bigint,v bigint,size bigint"
+    """Rows with run null: an owner's sums. Other rows: where a run's words are among the owner's, and their counts."""
+    spec = "owner int,run string,counts binary,places binary,n bigint,v bigint,size bigint"
     schema = _schema(spec)
 
     def run(group: pa.Table) -> pa.Table:
@@ -145,11 +152,11 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         counts = np.zeros(len(words), dtype=np.int64)
         np.add.at(counts, places, np.concatenate([unpack(r["counts"], "i8") for r in rows]))
         owner = rows[0]["owner"]
-        out = [{"owner": owner, "run": None, "words": pack(words), "counts": pack(counts), "places": b"", "n": int(counts.sum()), "v": int((counts > 0).sum()), "size": len(words)}]
+        out = [{"owner": owner, "run": None, "counts": b"", "places": b"", "n": int(counts.sum()), "v": int((counts > 0).sum()), "size": len(words)}]
         ends = np.cumsum([len(s) for s in sent]).tolist()
         for r, a, b in zip(rows, [0, *ends], ends, strict=False):
             at = places[a:b]
-            out.append({"owner": owner, "run": r["run"], "words": b"", "counts": pack(counts[at]), "places": pack(np.diff(at, prepend=0).astype(np.int32)), "n": 0, "v": 0, "size": 0})
+            out.append({"owner": owner, "run": r["run"], "counts": pack(counts[at]), "places": pack(np.diff(at, prepend=0).astype(np.int32)), "n": 0, "v": 0, "size": 0})
         return pa.Table.from_pylist(out, schema=schema)
 
     return asked.groupBy("owner").applyInArrow(run, spec)
@@ -173,12 +180,12 @@ def _gathered(rows: DataFrame, *names: str) -> DataFrame:
     return rows.groupBy("run").agg(F.collect_list(F.struct("owner", *names)).alias("answers"))
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Each token's key: word * len(vocabulary) + context, both as places in the run's vocabulary."""
+def _pairs(tokens: np.ndarray, sizes: np.ndarray, ending: int, words: int) -> np.ndarray:
+    """Each token's key: word * words + context, both as places in the run's vocabulary of so many words."""
     context = np.empty(len(tokens), dtype=np.int64)
     context[1:] = tokens[:-1]
-    context[np.cumsum(sizes) - sizes] = np.searchsorted(vocabulary, END)
-    return tokens.astype(np.int64) * len(vocabulary) + context
+    context[np.cumsum(sizes) - sizes] = ending
+    return tokens.astype(np.int64) * words + context
 
 
 def _gaps(context: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -194,7 +201,7 @@ def _from_gaps(gaps: np.ndarray, per: np.ndarray) -> np.ndarray:
     return sums[1:] - np.repeat(sums[np.cumsum(per) - per], per)
 
 
-def ask_pairs(runs: DataFrame, answers: DataFrame, starts, owners: int) -> DataFrame:
+def ask_pairs(runs: DataFrame, answers: DataFrame, starts) -> DataFrame:
     """Step 2: each run's pairs to the owners of their words. per: pairs a word; context, count: a pair's."""
     spec = "owner int,run string,places binary,per binary,context binary,count binary"
     schema = _schema(spec)
@@ -202,27 +209,27 @@ def ask_pairs(runs: DataFrame, answers: DataFrame, starts, owners: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                vocabulary, tokens, sizes = unpack(r["vocabulary"], "u8"), unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
+                tokens, sizes = unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
                 trained = ~np.repeat(unpack(r["held"], "?"), sizes)
-                pairs, which = np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)
+                places = {a["owner"]: a["places"] for a in sorted(r["answers"], key=lambda a: a["owner"])}
+                parts = [starts.value[k] + np.cumsum(unpack(blob, "i4"), dtype=np.int64) for k, blob in places.items()]
+                numbers = np.concatenate(parts)
+                pairs, which = np.unique(_pairs(tokens, sizes, r["ending"], len(numbers)), return_inverse=True)
                 counts = np.bincount(which[trained], minlength=len(pairs))
                 del which, tokens, trained
-                word, context = np.divmod(pairs, len(vocabulary))
-                per = np.bincount(word, minlength=len(vocabulary))
-                edges = _edges(vocabulary, owners)
+                word, context = np.divmod(pairs, len(numbers))
+                per = np.bincount(word, minlength=len(numbers))
+                edges = np.cumsum([0, *map(len, parts)]).tolist()
                 pair_at = np.concatenate(([0], np.cumsum(per)))
-                places = {a["owner"]: a["places"] for a in r["answers"]}
-                numbers = np.concatenate([starts.value[k] + np.cumsum(unpack(places[k], "i4"), dtype=np.int64) for k in sorted(places)])
                 context = numbers[context]
                 out = []
-                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if a < b:
-                        own = slice(pair_at[a], pair_at[b])
-                        out.append({"owner": k, "run": r["run"], "places": places[k], "per": pack(per[a:b].astype(np.int32)), "context": pack(_gaps(context[own], per[a:b])), "count": pack(counts[own].astype(np.int32))})
+                for (k, blob), a, b in zip(places.items(), edges[:-1], edges[1:], strict=True):
+                    own = slice(pair_at[a], pair_at[b])
+                    out.append({"owner": k, "run": r["run"], "places": blob, "per": pack(per[a:b].astype(np.int32)), "context": pack(_gaps(context[own], per[a:b])), "count": pack(counts[own].astype(np.int32))})
                 yield _batch(out, schema)
 
     found = _gathered(answers.where("run is not null"), "places")
-    return runs.select("run", "held", "sizes", "vocabulary", "tokens").join(found, "run").select("run", "held", "sizes", "vocabulary", "tokens", "answers").mapInArrow(run, spec)
+    return runs.select("run", "held", "sizes", "ending", "tokens").join(found, "run").select("run", "held", "sizes", "ending", "tokens", "answers").mapInArrow(run, spec)
 
 
 def _asked_keys(row: dict, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,24 +255,34 @@ def _root_of(word: np.ndarray, tables: np.ndarray, places: int) -> np.ndarray:
     return np.bincount(word, weights=tables, minlength=places).astype(np.int64)
 
 
+FIRST = f"kind string,{STATE},run string,found binary"
+FIRST_KINDS = {"state": [c.split()[0] for c in STATE.split(",")], "found": ["owner", "run", "found"]}
+
+
 def first_state(asks: DataFrame, words: int) -> DataFrame:
-    """Step 3, before any round: an owner's pairs and a first seating, one table a dish."""
-    schema = _schema(STATE)
+    """Step 3, before any round: an owner's pairs and a first seating, one table a dish (kind state).
+
+    Rows of kind found: where a run's pairs are among the owner's, as the first place and the steps from one to the next.
+    """
+    schema = _schema(FIRST)
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         found = [_asked_keys(r, words) for r in rows]
-        places = 1 + max(int(p.max()) for p, _ in found)
+        places, ends = 1 + max(int(p.max()) for p, _ in found), np.cumsum([len(k) for _, k in found]).tolist()
         keys, which = np.unique(np.concatenate([k for _, k in found]), return_inverse=True)
         del found
         counts = np.bincount(which, weights=np.concatenate([unpack(r["count"], "i4") for r in rows]), minlength=len(keys)).astype(np.int64)
+        owner = rows[0]["owner"]
+        out = [{"kind": "found", "owner": owner, "run": r["run"], "found": pack(np.diff(which[a:b], prepend=0).astype(np.int32))} for r, a, b in zip(rows, [0, *ends], ends, strict=False)]
         tables = np.minimum(counts, 1)
         word, context = np.divmod(keys, words)
         root_tables = np.minimum(_root_of(word, tables, places), 1)
         numbers, which = np.unique(context, return_inverse=True)
-        return pa.Table.from_pylist([_state(rows[0]["owner"], keys, counts, places, numbers, which, tables, root_tables, b"")], schema=schema)
+        out.append({"kind": "state", **_state(owner, keys, counts, places, numbers, which, tables, root_tables, b"")})
+        return pa.Table.from_pylist(out, schema=schema)
 
-    return asks.groupBy("owner").applyInArrow(run, STATE)
+    return asks.groupBy("owner").applyInArrow(run, FIRST)
 
 
 def context_sums(states: DataFrame, starts, name: str) -> DataFrame:
@@ -365,7 +382,7 @@ def _samples(blob: bytes) -> Iterator[bytes]:
         at += 8 + n
 
 
-def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFrame:
+def answer_pairs(found: DataFrame, states: DataFrame, totals, starts) -> DataFrame:
     """Step 4: (run, owner, pairs): averaged predictive probabilities of a run's pairs."""
     spec = "run string,owner int,pairs binary"
     schema = _schema(spec)
@@ -387,14 +404,13 @@ def answer_pairs(asks: DataFrame, states: DataFrame, totals, starts) -> DataFram
                 pair_mean += t.context_probability(counts, tables, customers, all_tables[which], parent[word])
             pair_mean /= len(totals.value)
             for a in asked.to_pylist():
-                _, wanted = _asked_keys(a, int(starts.value[-1]))
-                out.append({"run": a["run"], "owner": a["owner"], "pairs": pack(pair_mean[np.searchsorted(keys, wanted)].astype(np.float32))})
+                out.append({"run": a["run"], "owner": a["owner"], "pairs": pack(pair_mean[np.cumsum(unpack(a["found"], "i4"), dtype=np.int64)].astype(np.float32))})
         return pa.Table.from_pylist(out, schema=schema)
 
     kept = states.select("owner", "places", "keys", "counts", "context", "samples")
     for name in ("context_tables", "context_customers"):
         kept = kept.join(context_sums(states, starts, name), "owner")
-    return asks.select("owner", "run", "places", "per", "context").groupBy("owner").cogroup(kept.groupBy("owner")).applyInArrow(run, spec)
+    return found.select("owner", "run", "found").groupBy("owner").cogroup(kept.groupBy("owner")).applyInArrow(run, spec)
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -406,12 +422,12 @@ def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, n: int, v:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                vocabulary, tokens, sizes = unpack(r["vocabulary"], "u8"), unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
+                tokens, sizes = unpack(r["tokens"], "i4"), unpack(r["sizes"], "i8")
                 starts = np.cumsum(sizes) - sizes
                 counts = _joined(r["answers"], "counts", "i8")
                 by_owner = sorted(r["predicted"], key=lambda a: a["owner"])
                 pairs = np.log10(np.concatenate([unpack(a["pairs"], "f4") for a in by_owner]).astype(np.float64))
-                logs = pairs[np.unique(_pairs(tokens, sizes, vocabulary), return_inverse=True)[1]]
+                logs = pairs[np.unique(_pairs(tokens, sizes, r["ending"], len(counts)), return_inverse=True)[1]]
                 base = np.log10((counts + 1) / (n + 1 * (v + 1)))
                 total = lambda x: np.add.reduceat(x, starts)
                 ids, null = unpack(r["docs"], "i8"), unpack(r["doc_null"], "?")
@@ -421,9 +437,9 @@ def add_up(runs: DataFrame, answers: DataFrame, predicted: DataFrame, n: int, v:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = runs.select("run", "docs", "doc_null", "held", "sizes", "vocabulary", "tokens").join(_gathered(answers.where("run is not null"), "counts"), "run")
+    joined = runs.select("run", "docs", "doc_null", "held", "sizes", "ending", "tokens").join(_gathered(answers.where("run is not null"), "counts"), "run")
     both = joined.join(_gathered(predicted, "pairs").withColumnRenamed("answers", "predicted"), "run")
-    return both.select("run", "docs", "doc_null", "held", "sizes", "vocabulary", "tokens", "answers", "predicted").mapInArrow(run, SCORED)
+    return both.select("run", "docs", "doc_null", "held", "sizes", "ending", "tokens", "answers", "predicted").mapInArrow(run, SCORED)
 
 
 def owners_of(tokens: int, partitions: int) -> int:
@@ -435,21 +451,24 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    runs = materialize(store_runs(docs))
+    runs, vocabularies = materialize_kinds(store_runs(docs), RUN_KINDS)
     owners = owners_of(runs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], shuffle_partitions(spark))
-    answers = materialize(answer_counts(ask_counts(runs, owners)))
+    answers = materialize(answer_counts(ask_counts(vocabularies, owners)))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     starts = share(numbering(answers, owners))
-    asks = materialize(ask_pairs(runs, answers, starts, owners))
-    states = materialize(first_state(asks, int(starts.value[-1])))
+    discard(vocabularies)
+    asks = materialize(ask_pairs(runs, answers, starts))
+    states, found = materialize_kinds(first_state(asks, int(starts.value[-1])), FIRST_KINDS)
     totals, kept = Totals(states, v), []
+    discard(asks)
     for k in range(BURN + SAMPLES):
         before, states = states, materialize(gibbs_round(states, share(totals), starts, k, k >= BURN))
-        discard(before)
         totals = Totals(states, v)
+        discard(before)
         if k >= BURN:
             kept.append(totals)
-    # The runs' tokens are shuffled once more to be scored; questions and seatings needn't be on disk beside them.
-    predicted = materialize(answer_pairs(asks, states, share(kept), starts))
-    discard(asks, states)
+    # The runs' tokens are shuffled once more to be scored; places and seatings needn't be on disk beside them.
+    predicted = materialize(answer_pairs(found, states, share(kept), starts))
+    predicted.count()  # a query between, see discard
+    discard(found, states)
     return add_up(runs, answers, predicted, n, v)
