@@ -76,6 +76,57 @@ class Watermark:
         return self.at
 
 
+class Pieces(Rows):
+    def put(self, rows):
+        self.held = rows
+
+
+class Timers(Handle):
+    """States, and the timers that are still to fire."""
+
+    def getListState(self, *_):
+        return Pieces()
+
+    def registerTimer(self, at):
+        assert at not in self.timers
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("view", ["strict", "eventual"])
+def test_records_share_one_timer(view):
+    """Rows of many records in any batches: at most one timer waits, and each record's windows are as by itself."""
+    rng = random.Random(7)
+    for _ in range(60):
+        log, expected = [], []
+        for record in range(-3, rng.randint(-2, 5)):
+            opened = [(t, k, t + rng.choice((0, 3, 9)) if rng.random() < 0.3 else None) for k, t in enumerate(sorted(rng.randint(0, 60) / 2 for _ in range(rng.randint(0, 9))))]
+            said = [(rng.randint(0, 90) / 3, 100 + k) for k in range(rng.randint(0, 12))]
+            log += [(record, k, windows.TRIGGER, t, e) for t, k, e in opened] + [(record, k, windows.ANSWER, t, None) for t, k in said]
+            log += [(record, 999, windows.END, 31.0, None), (record, 998, windows.OTHER, 1.0, None)]
+            expected += [(record, n, source, index) for n, (source, index) in enumerate(windows.close_windows(opened, said, 1e9, 4.0, view, True)[0])]
+        each = windows.WindowAssigner(4.0, view)
+        each.init(handle := Timers())
+        got, seen = [], -1.0
+        for until in sorted(rng.randint(1, 30) for _ in range(4)) + [100]:
+            rows = [r for r in log if seen <= r[3] < until]
+            rng.shuffle(rows)
+            seen = until
+            if rows:
+                frame = pd.DataFrame(rows, columns=["record_id", "event_index", "kind", "t", "state_end_s"]).astype({"state_end_s": "float64"})
+                list(each.handleInputRows((0,), iter([frame[:2], frame[2:]]), Watermark(0)))
+                assert len(handle.timers) <= 1
+            for at in [t for t in handle.timers if t <= until * 1000]:
+                for out in each.handleExpiredTimer((0,), Watermark(until * 1000), None):
+                    got += [(r.record_id, r.position, r.source, None if r.event_index is pd.NA else r.event_index) for r in out.itertuples()]
+                handle.timers.remove(at)
+                assert len(handle.timers) <= 1
+        assert sorted(got, key=lambda r: r[:2]) == expected
+        assert not handle.timers and not each.rows.exists() and not each.due.exists()
+
+
 def test_record_gate_holds_until_grace_or_idleness():
     gate = records.RecordGate(grace_ms=100, idle_ms=1000)
     gate.init(handle := Handle())
