@@ -127,6 +127,23 @@ def test_records_share_one_timer(view):
         assert not handle.timers and not each.rows.exists() and not each.due.exists()
 
 
+def test_streamed_log_is_computed_once(spark, tmp_path):
+    """The parts in which a log arrives are taken from one computation of it, which itself reads the events once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    log = stream_queries.window_log(spark, "/root/testdata/sf0.001")
+    assert log._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    counted = log.mapInPandas(count, log.schema)
+    assert list(stream_queries.arrive(counted, 3600.0, str(tmp_path / "log"))) == [0, 1, 2, 3]
+    rows = log.count()
+    assert seen.value == rows and spark.read.parquet(str(tmp_path / "log")).count() == rows + 1
+
+
 def test_record_gate_holds_until_grace_or_idleness():
     gate = records.RecordGate(grace_ms=100, idle_ms=1000)
     gate.init(handle := Handle())

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,7 +16,7 @@ from tidelog.plans import standins as s
 from tidelog.plans.standins import DAY, with_views
 from tidelog.plans.text_queries import ASSEMBLY
 from tidelog.plans.window_queries import FOLD
-from tidelog.sources.folders import shared_dir
+from tidelog.sources.folders import shared_dir, stored
 from tidelog.streaming import records, windows
 from tidelog.streaming.commits import CommitLog
 from tidelog.streaming.episodes import COLUMNS, assemble_stream
@@ -65,9 +65,10 @@ def arrive(log: DataFrame, delay_s: float, folder: str) -> Iterator[int]:
     """Writes a log (record_id, event_index, ts, ...) to the folder in order of arrival, in STEPS parts.
 
     A row arrives up to delay_s late, so parts overlap in event time. After each part the caller is told. At last a
-    row of no record comes from the time after all others, and brings the watermark past every timer.
+    row of no record comes from the time after all others, and brings the watermark past every timer. The log is
+    computed once, however many parts are taken from it.
     """
-    log = log.withColumn("__at", F.unix_millis("ts") + F.pmod(F.xxhash64("record_id", "event_index"), F.lit(int(delay_s * 1000))))
+    log = stored(log.withColumn("__at", F.unix_millis("ts") + F.pmod(F.xxhash64("record_id", "event_index"), F.lit(int(delay_s * 1000)))))
     least, most = log.agg(F.min("__at"), F.max("__at")).first()
     if least is None:
         return
@@ -106,9 +107,12 @@ def window_log(spark: SparkSession, d: str) -> DataFrame:
     """Purchases are point triggers, signups states that last half an hour a unit of value, clicks answers."""
     log = s.event_log(spark, d)
     until = F.when(F.col("kind") == "telemetry", F.col("t") + F.col("value") * 1800)
-    kept = log.where("kind in ('trigger', 'telemetry', 'answer')").select("record_id", "event_index", F.when(F.col("kind") == "answer", "answer").otherwise("trigger").alias("kind"), "t", until.alias("state_end_s"))
-    ends = log.groupBy("record_id").agg((F.max("event_index") + 1).alias("event_index"), (F.max("t") + 1).alias("t")).withColumn("kind", F.lit("end"))
-    return kept.unionByName(ends, allowMissingColumns=True).withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("bigint")))
+    of = Window.partitionBy("record_id")
+    log = log.withColumns({"__last": F.max("event_index").over(of), "__until": F.max("t").over(of)})
+    row = F.struct("event_index", F.when(F.col("kind") == "answer", "answer").when(F.col("kind").isin("trigger", "telemetry"), "trigger").alias("kind"), "t", until.alias("state_end_s"))
+    end = F.struct((F.col("__last") + 1).alias("event_index"), F.lit("end").alias("kind"), (F.col("__until") + 1).alias("t"), F.lit(None).cast("double").alias("state_end_s"))
+    both = F.when(F.col("event_index") == F.col("__last"), F.array(row, end)).otherwise(F.array(row))
+    return log.select("record_id", F.inline(both)).where("kind is not null").withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("bigint")))
 
 
 def window_stream(spark: SparkSession, d: str, view: str) -> DataFrame:
